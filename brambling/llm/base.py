@@ -72,3 +72,15 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Up to so many ids (8 bytes each) are broadcast; beyond that both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` of rows by the one column of ids, which must be stored."""
+    name = ids.columns[0]
+    ids = ids.select(F.col(name).alias("__id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.join(ids, F.col(id_col).cast("long") == F.col("__id"), how)
