@@ -1,0 +1 @@
+"""Spark-native topical search analytics and training-data operators."""

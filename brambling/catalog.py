@@ -1,4 +1,540 @@
 """The queries of the search operators and their SQL, by name."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brambling import config
+from brambling.functions import bits as B
+from brambling.functions import text as T
+from brambling.functions import urls as U
+from brambling.functions import vectors as V
+from brambling.operators import cards, crawl, diversify, html, index, rank, simhash, stores
+from brambling.plans.ingest import decided_pages, language_by_words
+from brambling.plans.search import Engine
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+#: Queries of the registered searches; the words occur in the test tables.
+SEARCHES = (("1", "thnt haing reer oner"), ("2", "aile que en ingtion"))
+TOPIC = ("onatth", "eauaux", "berlich")  #: topic terms that fit the test tables' invented words
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return index.corpus(_read(spark, sf, "documents"))
+
+
+def _searches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(SEARCHES)], "query_id string, query string, seq long")
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return _read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+
+
+# SQL pieces -----------------------------------------------------------------------------
+_STOP = ", ".join(f"'{w}'" for w in config.STOP_WORDS)
+_WORD, _PHONE = T.WORD, r"\+?[0-9][0-9 -]{8,14}[0-9]"
+_CLASS = r"""[!"#$%&''()*+,\-./:;<=>?@\[\]^_`{|}~–\s]+"""
+
+
+def _tokens(c: str) -> str:
+    rest = f"regexp_replace({c}, '{_PHONE}', '', 'g')"
+    links = rf"regexp_extract_all({rest}, '(?:https?://|www\.)[^\s]+')"
+    named = rf"regexp_extract_all({rest}, '(?i)(?:max\s+planck\s+institute)')"
+    return f"""list_concat(list_concat(regexp_extract_all({c}, '{_PHONE}'),
+        list_filter(regexp_extract_all(lower({rest}), '{_WORD}'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))),
+        list_transform(list_concat({named}, {links}), lambda e: lower(trim(regexp_replace(e, '{_CLASS}', ' ', 'g')))))"""
+
+
+_CORPUS = f"corpus AS (SELECT doc_id, {_tokens('text')} AS tokens FROM documents)"
+_POST = f"""{_CORPUS},
+tok AS (SELECT doc_id, unnest(tokens) AS term FROM corpus),
+post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT doc_id, len(tokens) AS dl FROM corpus),
+dfq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+st AS (SELECT count(*)::DOUBLE AS n, sum(len(tokens))::DOUBLE / count(*) AS avgdl FROM corpus)"""
+_LITERAL = "qs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SEARCHES) + ") v(query_id, query))"
+_ITEMS = "qs AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark)"
+
+
+def _terms(distinct: bool) -> str:
+    tokens = f"list_distinct({_tokens('query')})" if distinct else _tokens("query")
+    return f"qterms AS (SELECT query_id, term, count(*) AS qcount FROM (SELECT query_id, unnest({tokens}) AS term FROM qs) GROUP BY ALL)"
+
+
+def _tfidf(out: str, terms: str) -> str:
+    return f"""{out} AS (SELECT query_id, doc_id, round(sum(ln(1 + n / df) * (tf::DOUBLE / dl) * qcount), 6) AS score
+    FROM post JOIN {terms} USING (term) JOIN dfq USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"""
+
+
+def _bm25(out: str, terms: str) -> str:
+    return f"""{out} AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * (((tf::DOUBLE / dl) * 2.5e0)
+      / ((tf::DOUBLE / dl) + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))) * qcount), 6) AS score
+    FROM post JOIN {terms} USING (term) JOIN dfq USING (term) JOIN dl USING (doc_id), st GROUP BY ALL)"""
+
+
+def _norm(out: str, src: str) -> str:
+    return f"""{out} AS (SELECT query_id, doc_id, CASE WHEN hi = lo THEN 1e0 ELSE (score - lo) / (hi - lo) END AS score FROM (
+      SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {src}))"""
+
+
+def _fuse(out: str, lists: dict[str, str]) -> str:
+    parts = " UNION ALL ".join(f"SELECT query_id, doc_id, score * {w} AS score FROM {s}" for s, w in lists.items())
+    return f"{out} AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM ({parts}) GROUP BY ALL)"
+
+
+def _top(src: str, k: int = 100) -> str:
+    return f"""SELECT query_id, doc_id, score, rank FROM (
+      SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM {src}) WHERE rank <= {k}"""
+
+
+_FIRST = ", ".join([_POST, _LITERAL, _terms(True), _tfidf("t1", "qterms"), _bm25("b1", "qterms"), _norm("tn1", "t1"), _norm("bn1", "b1"), _fuse("f1", {"tn1": "0.5e0", "bn1": "0.5e0"})])
+_PRF = (
+    _FIRST
+    + f""", top5 AS ({_top("f1", 5)}),
+fb AS (SELECT query_id, term, freq FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY freq DESC, term) AS place FROM (
+    SELECT query_id, term, count(*) AS freq FROM (SELECT query_id, unnest(tokens) AS term FROM top5 JOIN corpus USING (doc_id)) GROUP BY ALL)) WHERE place <= 25)"""
+)
+
+
+def _slots(out: str, src: str, key: str, weight: str) -> str:
+    slot = "(('0x' || substr(md5(term), 1, 8))::BIGINT % 64)::INTEGER"
+    sign = "CASE WHEN ('0x' || substr(md5(term), 9, 4))::BIGINT % 2 = 0 THEN 1e0 ELSE -1e0 END"
+    return f"""{out}0 AS (SELECT {key}, {slot} AS slot, sum({sign} * {weight}) AS v FROM {src} GROUP BY ALL HAVING sum({sign} * {weight}) <> 0),
+{out}1 AS (SELECT {key}, sqrt(sum(v * v)) AS len FROM {out}0 GROUP BY {key}),
+{out} AS (SELECT {key}, slot, v / len AS w FROM {out}0 JOIN {out}1 USING ({key}))"""
+
+
+_SECOND = ", ".join([
+    _PRF,
+    "q2 AS (SELECT query_id, term, sum(c) AS qcount FROM (SELECT query_id, term, 1 AS c FROM fb UNION ALL SELECT query_id, term, qcount FROM qterms) GROUP BY ALL)",
+    _tfidf("t2", "q2"), _bm25("b2", "q2"), _slots("dv", "post", "doc_id", "tf"), _slots("qv", "q2", "query_id", "qcount"),
+    "e2 AS (SELECT query_id, doc_id, round(sum(dv.w * qv.w), 6) AS score FROM dv JOIN qv USING (slot) GROUP BY ALL)",
+    _norm("tn2", "t2"), _norm("bn2", "b2"), _norm("en2", "e2"), _fuse("f2", {"tn2": "0.3e0", "bn2": "0.4e0", "en2": "0.3e0"}),
+])
+
+
+# Text ------------------------------------------------------------------------------------
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[''’]', '', 'g'),
+  '\s*(p\.m\.)\s*', ' pm', 'g'), '\s*(a\.m\.)\s*', ' am', 'g') AS cleaned FROM documents""")
+def clean_text(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query(f"SELECT doc_id, lower(trim(regexp_replace(text, '{_CLASS}', ' ', 'g'))) AS normalised FROM documents")
+def token_normalize(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", T.normalise_word(F.col("text")).alias("normalised"))
+
+
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_PHONE}')) AS phone, regexp_replace(text, '{_PHONE}', '', 'g') AS rest FROM documents")
+def phones_extract(spark, sf):
+    c = F.col("text")
+    return _read(spark, sf, "documents").select("doc_id", F.explode(T.phones(c)).alias("phone"), T.without_phones(c).alias("rest"))
+
+
+@query(f"WITH {_CORPUS} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM corpus")
+def process_text(spark, sf):
+    return _corpus(spark, sf).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 250 THEN substr(text, 1, 250) || '...' ELSE text END AS short, substr(text, 1, 10) AS head FROM documents")
+def shortened_text(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", T.shortened(F.col("text"), 250).alias("short"), F.substring("text", 1, 10).alias("head"))
+
+
+@query(f"""WITH {_CORPUS}, t AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM corpus),
+c AS (SELECT doc_id, term, count(*) AS freq, min(pos) AS first FROM t GROUP BY ALL)
+SELECT doc_id, term, freq, place FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY freq DESC, first))::INTEGER AS place FROM c) WHERE place <= 10""")
+def top_keywords(spark, sf):
+    return rank.top_terms(_corpus(spark, sf))
+
+
+# Index -----------------------------------------------------------------------------------
+@query(f"WITH {_POST} SELECT term, doc_id, tf FROM post")
+def inverted_index_postings(spark, sf):
+    return index.postings(_corpus(spark, sf))
+
+
+@query(f"WITH {_POST} SELECT doc_id, dl FROM dl")
+def doc_lengths(spark, sf):
+    return index.document_lengths(_corpus(spark, sf))
+
+
+@query(f"WITH {_POST} SELECT term, df FROM dfq")
+def doc_frequency(spark, sf):
+    return index.document_frequencies(index.postings(_corpus(spark, sf)))
+
+
+@query(f"WITH {_CORPUS} SELECT count(*) AS n, sum(len(tokens))::BIGINT AS total, round(sum(len(tokens))::DOUBLE / count(*), 6) AS avgdl FROM corpus")
+def corpus_stats(spark, sf):
+    return index.corpus_stats(_corpus(spark, sf)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query(f"WITH {_POST}, {_slots('dv', 'post', 'doc_id', 'tf')} SELECT doc_id, slot, round(w, 6) AS w FROM dv")
+def hashed_embeddings(spark, sf):
+    return index.hashed_vectors(index.postings(_corpus(spark, sf))).withColumn("w", F.round("w", 6))
+
+
+@query()
+def lda_topics(spark, sf):
+    docs = _read(spark, sf, "documents")
+    return index.topic_distributions(docs, topics=20, max_iter=5, vocabulary=5000).select("doc_id", V.argmin(F.col("topics")).alias("topic"), F.size("topics").alias("k"))
+
+
+# Search ----------------------------------------------------------------------------------
+def _lexical(spark, sf, queries):
+    engine = Engine(_corpus(spark, sf))
+    return engine.lexical(rank.query_terms(queries, lambda c: rank.expand(T.analyse(c))))
+
+
+@query("WITH " + ", ".join([_POST, _LITERAL, _terms(True), _bm25("s", "qterms")]) + " " + _top("s"))
+def bm25_top100(spark, sf):
+    return rank.ranked(_lexical(spark, sf, _searches(spark))[1])
+
+
+@query("WITH " + ", ".join([_POST, _LITERAL, _terms(True), _tfidf("s", "qterms")]) + " " + _top("s"))
+def tfidf_top100(spark, sf):
+    return rank.ranked(_lexical(spark, sf, _searches(spark))[0])
+
+
+@query("WITH " + ", ".join([_POST, _ITEMS, _terms(True), _bm25("s", "qterms")]) + " " + _top("s"))
+def multi_query_bm25(spark, sf):
+    return rank.ranked(_lexical(spark, sf, _items(spark, sf))[1])
+
+
+@query("WITH " + ", ".join([_POST, _LITERAL, _terms(True), _bm25("s", "qterms"), _norm("nn", "s")]) + " SELECT query_id, doc_id, round(score, 6) AS score FROM nn")
+def minmax_normalize(spark, sf):
+    return rank.normalise(_lexical(spark, sf, _searches(spark))[1]).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_FIRST} {_top('f1')}")
+def fused_lexical(spark, sf):
+    return rank.ranked(Engine(_corpus(spark, sf)).first_pass(_searches(spark))[1])
+
+
+@query(f"WITH {_PRF} SELECT query_id, term, freq FROM fb")
+def prf_terms(spark, sf):
+    engine = Engine(_corpus(spark, sf))
+    return rank.feedback_terms(engine.first_pass(_searches(spark))[1], engine.corpus)
+
+
+@query(f"WITH {_SECOND} {_top('f2')}")
+def two_pass_search(spark, sf):
+    return Engine(_corpus(spark, sf)).search(_searches(spark))
+
+
+_VECTORS = """qv AS (SELECT 'label' || label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label),
+cs AS (SELECT query_id, vec_id AS doc_id, label, embedding, round(list_inner_product(embedding::DOUBLE[], q)
+  / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q, q))), 4) AS score FROM embeddings, qv)"""
+
+
+def _vector_scores(spark, sf):
+    e = _read(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    q = e.groupBy(F.concat(F.lit("label"), "label").alias("query_id")).agg(F.min_by("embedding", "doc_id").alias("query_vector"))
+    return e, rank.cosine_to_queries(e, q, digits=4)
+
+
+@query(f"WITH {_VECTORS} {_top('cs', 10)}")
+def embedding_cosine_topk(spark, sf):
+    return rank.ranked(_vector_scores(spark, sf)[1], 10)
+
+
+def _interleaved(group: str) -> str:
+    return f"""WITH {_VECTORS}, g AS (SELECT query_id, doc_id, score, {group} AS g FROM cs),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, doc_id) AS rn,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM g),
+b AS (SELECT *, min(rk) OVER (PARTITION BY query_id, g) AS fc FROM a),
+c AS (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY rn, fc))::INTEGER AS place FROM b)"""
+
+
+_ARGMIN = "(list_position(embedding, list_min(embedding)) - 1)"
+
+
+@query(_interleaved("label") + " SELECT * FROM c WHERE place <= 100")
+def interleave_by_label(spark, sf):
+    e, s = _vector_scores(spark, sf)
+    return diversify.interleave(s.join(e.select("doc_id", "label"), "doc_id"), "label")
+
+
+def _topics(e: DataFrame) -> DataFrame:
+    return diversify.topic_of(e.withColumnRenamed("embedding", "topics"))
+
+
+@query(_interleaved(_ARGMIN) + " SELECT * FROM c WHERE place <= 100")
+def topic_argmin_interleave(spark, sf):
+    e, s = _vector_scores(spark, sf)
+    return diversify.interleave(s.join(_topics(e), "doc_id"), "topic")
+
+
+@query(
+    _interleaved("label") + f", lc AS (SELECT * FROM c WHERE place <= 100), g2 AS (SELECT query_id, doc_id, score, {_ARGMIN} AS g FROM cs),"
+    """a2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, doc_id) AS rn,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM g2),
+b2 AS (SELECT *, min(rk) OVER (PARTITION BY query_id, g) AS fc FROM a2),
+tc AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rn, fc) AS place FROM b2) WHERE place <= 100),
+"""
+    + _fuse("m", {"lc": "0.6e0", "tc": "0.4e0"}) + " " + _top("m")
+)
+def combine_diversified(spark, sf):
+    e, s = _vector_scores(spark, sf)
+    return diversify.diversify(s, e.select("doc_id", F.col("label").alias("cluster")), _topics(e))
+
+
+@query()
+def kmeans_diversify(spark, sf):
+    e, s = _vector_scores(spark, sf)
+    return diversify.diversify(s, diversify.kmeans_clusters(e, most=250), _topics(e))
+
+
+# Near-duplicates -------------------------------------------------------------------------
+_BITS = ", ".join(f"sum(CASE WHEN (h >> {i}) & 1 = 1 THEN w ELSE -w END) AS s{i}" for i in range(64))
+_HI = " | ".join(f"(CASE WHEN s{i + 32} > 0 THEN {1 << i}::BIGINT ELSE 0 END)" for i in range(32))
+_LO = " | ".join(f"(CASE WHEN s{i} > 0 THEN {1 << i}::BIGINT ELSE 0 END)" for i in range(32))
+_SIM = f"""{_POST}, cf AS (SELECT term, sum(tf)::BIGINT AS cf FROM post GROUP BY term),
+wt AS (SELECT term, cf, floor((SELECT max(cf) FROM cf)::DOUBLE / cf)::BIGINT AS weight FROM cf),
+tw AS (SELECT doc_id, tf * weight AS w, ('0x' || right(sha256(term), 16))::UBIGINT AS h FROM post JOIN wt USING (term)),
+sums AS (SELECT doc_id, {_BITS} FROM tw GROUP BY doc_id),
+hs AS (SELECT doc_id, {_HI} AS hi, {_LO} AS lo FROM sums)"""
+_NEAR = "bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo))"
+
+
+def _hashes(spark, sf):
+    corpus = _corpus(spark, sf)
+    return simhash.simhashes(index.postings(corpus), simhash.term_weights(simhash.term_frequencies(corpus)))
+
+
+@query(f"WITH {_SIM} SELECT term, cf FROM cf")
+def term_frequencies(spark, sf):
+    return simhash.term_frequencies(_corpus(spark, sf))
+
+
+@query(f"WITH {_SIM} SELECT term, weight FROM wt")
+def term_weights(spark, sf):
+    return simhash.term_weights(simhash.term_frequencies(_corpus(spark, sf)))
+
+
+@query(f"WITH {_SIM} SELECT doc_id, hi, lo FROM hs")
+def simhash_docs(spark, sf):
+    return _hashes(spark, sf).select("doc_id", "hi", "lo")
+
+
+@query(f"WITH {_SIM} SELECT a.doc_id AS a, b.doc_id AS b, ({_NEAR})::INTEGER AS distance FROM hs a JOIN hs b ON a.doc_id < b.doc_id AND {_NEAR} <= 16")
+def neardup_pairwise(spark, sf):
+    return simhash.pairs_of_all(_hashes(spark, sf))
+
+
+@query(f"""WITH {_SIM} SELECT a.doc_id AS a, b.doc_id AS b, ({_NEAR})::INTEGER AS distance
+FROM hs a JOIN hs b ON a.hi >> 26 = b.hi >> 26 AND a.doc_id < b.doc_id AND {_NEAR} <= 16""")
+def neardup_bucketed(spark, sf):
+    return simhash.pairs_in_buckets(_hashes(spark, sf))
+
+
+@query(f"""WITH {_SIM} SELECT doc_id FROM hs WHERE doc_id NOT IN (
+SELECT b.doc_id FROM hs a JOIN hs b ON a.hi >> 26 = b.hi >> 26 AND a.doc_id < b.doc_id AND {_NEAR} <= 16)""")
+def neardup_kept(spark, sf):
+    h = _hashes(spark, sf)
+    return simhash.drop_duplicates(h, simhash.pairs_in_buckets(h)).select("doc_id")
+
+
+@query("SELECT doc_id, substr(sha256(text), 49, 16) AS hex, bit_count(('0x' || right(sha256(text), 16))::UBIGINT)::INTEGER AS ones FROM documents")
+def word_hash(spark, sf):
+    h = B.hash_word(F.col("text"))
+    return _read(spark, sf, "documents").select("doc_id", F.lower(F.lpad(F.hex(h), 16, "0")).alias("hex"), B.hamming(h, F.lit(0).cast("long")).cast("int").alias("ones"))
+
+
+# Urls and pages --------------------------------------------------------------------------
+_PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)"
+_PATH = rf"regexp_replace(regexp_extract(url, '{_PARTS}', 3), ';[^/]*$', '')"
+
+
+def _found(c: str, terms) -> str:
+    folded = "|".join(f"(?:{t})" for t in dict.fromkeys(terms)).replace("'", "''")
+    return f"({c} <> '' AND regexp_matches({c}, '(?i){folded}'))"
+
+
+@query(rf"SELECT page_id, lower(regexp_extract(url, '{_PARTS}', 1)) AS scheme, regexp_extract(url, '{_PARTS}', 2) AS netloc, {_PATH} AS path FROM pages")
+def url_parts(spark, sf):
+    u = F.col("url")
+    return _read(spark, sf, "pages").select("page_id", U.scheme(u).alias("scheme"), U.netloc(u).alias("netloc"), U.path(u).alias("path"))
+
+
+_ENDINGS = "|".join(e.replace(".", r"\.") for e in config.FILE_ENDINGS)
+
+
+@query(f"SELECT page_id, regexp_matches({_PATH}, '(?:{_ENDINGS})$') AS by_path, regexp_matches(url, '(?:{_ENDINGS})$') AS by_url FROM pages")
+def url_is_file(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", U.is_file(U.path(F.col("url"))).alias("by_path"), U.is_file(F.col("url")).alias("by_url"))
+
+
+@query(f"""SELECT page_id, {_found(_PATH, config.EDITOR_TERMS)} AS editor, {_found(_PATH, config.UNWANTED_PATH_TERMS)} AS unwanted,
+{_found('url', config.BLACKLIST)} AS blacklisted, {_found(_PATH, config.ENGLISH_PATHS)} AS english FROM pages""")
+def url_blocked(spark, sf):
+    u = F.col("url")
+    flags = {"editor": U.is_editor(U.path(u)), "unwanted": U.is_unwanted(U.path(u)), "blacklisted": U.is_blacklisted(u), "english": U.has_english_path(U.path(u))}
+    return _read(spark, sf, "pages").select("page_id", *(c.alias(n) for n, c in flags.items()))
+
+
+@query(r"""SELECT page_id, CASE WHEN len(l) > 2 THEN array_to_string(l[-2:], '.') ELSE h END AS domain FROM (
+SELECT page_id, regexp_extract(url, '://(?:www\.)?([^/]+)', 1) AS h, string_split(regexp_extract(url, '://(?:www\.)?([^/]+)', 1), '.') AS l FROM pages)""")
+def registered_domain(spark, sf):
+    return _read(spark, sf, "pages").select("page_id", U.registered_domain(F.col("url")).alias("domain"))
+
+
+_HREFS = """links AS (SELECT url AS page_url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (
+  SELECT url, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: replace(x, '&amp;', '&')) AS h FROM pages))"""
+
+
+@query(f"WITH {_HREFS} SELECT page_url, pos::INTEGER AS pos, href FROM links")
+def page_links(spark, sf):
+    return html.links_of(html.extract(_read(spark, sf, "pages"))).select("page_url", "pos", "href")
+
+
+@query()
+def page_blocks(spark, sf):
+    return html.blocks_of(html.extract(_read(spark, sf, "pages")))
+
+
+@query("SELECT url, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, '' AS description, '' AS keywords FROM pages")
+def page_meta(spark, sf):
+    return html.extract(_read(spark, sf, "pages")).select("url", "title", "description", "keywords")
+
+
+def _visited(spark, sf):
+    """Pages of even ids as a visited store, whose English-language hosts are known."""
+    u = F.col("url")
+    seen = _read(spark, sf, "pages").where("page_id % 2 = 0")
+    visited = seen.select(U.netloc(u).alias("domain"), "url", F.lit(False).alias("skipped")).distinct()
+    return visited, seen.groupBy(U.netloc(u).alias("domain")).agg(F.bool_or(U.has_english_path(U.path(u))).alias("eng"))
+
+
+_NET = f"regexp_extract(url, '{_PARTS}', 2)"
+_SEEN = f"""seen AS (SELECT DISTINCT {_NET} AS domain, url FROM pages WHERE page_id % 2 = 0),
+doms AS (SELECT {_NET} AS domain, bool_or({_found(_PATH, config.ENGLISH_PATHS)}) AS eng FROM pages WHERE page_id % 2 = 0 GROUP BY 1)"""
+
+
+@query(rf"""WITH {_HREFS}, {_SEEN},
+r AS (SELECT page_url, pos, href, CASE WHEN starts_with(href, '/') THEN lower(regexp_extract(page_url, '{_PARTS}', 1)) || '://' || regexp_extract(page_url, '{_PARTS}', 2) || href ELSE href END AS url
+  FROM links WHERE NOT contains(href, '#')),
+s AS (SELECT *, {_PATH} AS path, {_NET} AS domain, regexp_extract(page_url, '{_PARTS}', 2) AS page_domain,
+  regexp_replace(regexp_extract(page_url, '{_PARTS}', 3), ';[^/]*$', '') AS page_path FROM r WHERE {_NET} <> '' AND lower(regexp_extract(url, '{_PARTS}', 1)) IN ('http', 'https')),
+t AS (SELECT s.* FROM s LEFT JOIN doms ON s.page_domain = doms.domain
+  WHERE NOT regexp_matches(path, '(?:{_ENDINGS})$') AND NOT {_found('path', config.EDITOR_TERMS)} AND NOT {_found('path', config.UNWANTED_PATH_TERMS)} AND NOT {_found('url', config.BLACKLIST)}
+  AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.url = s.url AND seen.domain = s.domain)
+  AND NOT coalesce(doms.eng AND s.domain = s.page_domain AND {_found('page_path', config.ENGLISH_PATHS)} AND NOT {_found('path', config.ENGLISH_PATHS)}, false))
+SELECT page_url, pos::INTEGER AS pos, url, path FROM (SELECT *, row_number() OVER (PARTITION BY page_url, path ORDER BY pos) AS nth FROM t) WHERE nth = 1""")
+def link_filter(spark, sf):
+    links = html.links_of(html.extract(_read(spark, sf, "pages")))
+    return crawl.filter_links(links, *_visited(spark, sf)).select("page_url", "pos", "url", "path")
+
+
+def _frontier(spark, sf):
+    """Pages of even ids wait IN their domains; all pages are then added."""
+    u, pages = F.col("url"), _read(spark, sf, "pages")
+    old = pages.where("page_id % 2 = 0").groupBy("url").agg(F.min("page_id").alias("enqueue_seq"))
+    old = old.select(F.lit("IN").alias("section"), U.netloc(u).alias("domain"), "url", F.lit(0).alias("priority"), "enqueue_seq")
+    new = pages.select("url", F.lit(1).alias("priority"), F.col("page_id").alias("seq"))
+    return stores.frontier_add(old, new)
+
+
+_FRONTIER = f"""old AS (SELECT 'IN' AS section, {_NET} AS domain, url, min(page_id) AS seq FROM pages WHERE page_id % 2 = 0 GROUP BY url),
+front AS (SELECT CASE WHEN n.domain IN (SELECT domain FROM old) THEN 'IN' ELSE 'OUT' END AS section, n.domain, n.url, 1 AS priority,
+  coalesce(old.seq, n.seq + (SELECT max(seq) FROM old) + 1) AS enqueue_seq
+  FROM (SELECT url, {_NET} AS domain, min(page_id) AS seq FROM pages GROUP BY url) n LEFT JOIN old ON n.url = old.url)"""
+
+
+@query(f"WITH {_FRONTIER} SELECT * FROM front")
+def frontier_split(spark, sf):
+    return _frontier(spark, sf)
+
+
+@query(f"""WITH {_FRONTIER}, d AS (SELECT section, domain, row_number() OVER (PARTITION BY section ORDER BY min(enqueue_seq), domain) AS turn FROM front GROUP BY section, domain),
+q AS (SELECT section, domain, url, row_number() OVER (PARTITION BY section, domain ORDER BY enqueue_seq, url) AS nth FROM front)
+SELECT section, domain, url, slot FROM (SELECT *, (row_number() OVER (PARTITION BY section ORDER BY nth, turn))::INTEGER AS slot FROM q JOIN d USING (section, domain)) WHERE slot <= 10""")
+def round_robin_schedule(spark, sf):
+    return crawl.schedule(_frontier(spark, sf))
+
+
+@query(f"""WITH {_SEEN} SELECT {_NET} AS domain, url, arg_max(page_id % 3 = 0, page_id) AS skipped FROM pages GROUP BY url""")
+def visited_upsert(spark, sf):
+    visited, domains = _visited(spark, sf)
+    events = _read(spark, sf, "pages").select("url", F.lit(True).alias("is_english"), (F.col("page_id") % 3 == 0).alias("skipped"), F.col("page_id").alias("seq"))
+    return stores.visited_update(visited, domains, events)[0]
+
+
+# Gates -----------------------------------------------------------------------------------
+@query("SELECT doc_id, (lang = 'en' OR (lang = 'de' AND (n_chars % 100) / 100e0 < 0.8e0)) AND text <> '' AS kept FROM documents")
+def lang_gate(spark, sf):
+    score = (F.col("n_chars") % 100) / F.lit(100.0)
+    return _read(spark, sf, "documents").select("doc_id", crawl.language_gate(F.col("lang"), score, F.col("text")).alias("kept"))
+
+
+@query(f"SELECT doc_id, {_found('text', TOPIC)} AS kept FROM documents")
+def topic_gate(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", crawl.topic_gate(F.col("text"), TOPIC).alias("kept"))
+
+
+@query()
+def detected_language(spark, sf):
+    lang, score = language_by_words(F.col("text"))
+    return _read(spark, sf, "documents").select("doc_id", lang.alias("lang"), F.round(score, 6).alias("score"))
+
+
+@query()
+def crawl_decision(spark, sf):
+    none = spark.createDataFrame([], "domain string, url string, skipped boolean")
+    hashes = spark.createDataFrame([], "doc_id long, simhash long")
+    return decided_pages(_read(spark, sf, "pages"), none, hashes, TOPIC).select("url", "lang", "decision")
+
+
+@query(f"""WITH {_POST}, {_LITERAL}, {_terms(True)}, {_bm25("s", "qterms")}, r AS ({_top("s", 10)}),
+t AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM corpus WHERE doc_id IN (SELECT doc_id FROM r)),
+k AS (SELECT doc_id, string_agg(term, ', ' ORDER BY place) AS terms FROM (
+  SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS place FROM t GROUP BY doc_id, term) WHERE place <= 10 GROUP BY doc_id)
+SELECT query_id, rank, doc_id, score, 'doc:' || doc_id AS url, lang AS title, CASE WHEN length(text) > 250 THEN substr(text, 1, 250) || '...' ELSE text END AS description,
+  coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN substr(source || ', more words', 1, 10) ELSE '' END, ''), terms, '') AS keywords
+FROM r JOIN documents USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def result_cards(spark, sf):
+    docs = _read(spark, sf, "documents")
+    keywords = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(", more words"))).otherwise("")
+    meta = docs.select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("url"), F.col("lang").alias("title"), F.col("text").alias("description"), keywords.alias("keywords"))
+    results = rank.ranked(_lexical(spark, sf, _searches(spark))[1], 10)
+    return cards.result_cards(results, meta, _corpus(spark, sf))
+
+
+@query("SELECT url, min(page_id) IS NOT NULL AS there FROM pages GROUP BY url")
+def stream_dedupe(spark, sf):
+    """The page table as a stream, each url once, as far as the stream has come."""
+    import uuid
+
+    name = f"stream_dedupe_{uuid.uuid4().hex}"
+    pages = spark.readStream.schema("page_id long, url string").parquet(f"{sf}/pages.parquet*")
+    query_ = pages.dropDuplicates(["url"]).select("url", F.lit(True).alias("there")).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.table(name)
+
+
+@query("""SELECT user_id, window_start, count(*) AS n, round(sum(value), 4) AS total FROM (
+SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events) GROUP BY ALL""")
+def event_windows(spark, sf):
+    """Hourly windows of the event table: the batch form of a watermarked window count."""
+    rows = _read(spark, sf, "events").groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
