@@ -1,0 +1 @@
+"""Operators of training-data pipelines. Nothing else in the library imports them."""
