@@ -24,6 +24,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,11 +37,30 @@ from . import base
 END_ID = 2
 #: Ids in a chunk: cut where the hash has zeros in MEAN - 1's bits, between these bounds.
 LEAST, MEAN, MOST, WINDOW = 128, 512, 4096, 16
-#: Entries of a worker's caches; each is emptied when full.
-CACHE, SEEN = 400_000, 200_000
+#: Entries of a worker's caches, each emptied when full.
+CACHE, SEEN = 600_000, 200_000
 
-#: Texts whose white space isn't all single blanks or newlines between words.
-ODD = re.compile(r"\s\s|^\s|\s\Z|\x00")
+#: White space besides blank and newline; in texts with any a slower look decides.
+RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD = re.compile(r"\s\s|^\s|\s\Z")
+
+
+def odd(t: str) -> bool:
+    """Whether white space isn't all single, between words; or a text holds the mark they are cut at."""
+    if "  " in t or "\n\n" in t or "\n " in t or " \n" in t or "\0" in t or t[:1].isspace() or t[-1:].isspace():
+        return True
+    return any(c in t for c in RARE_SPACE) and ODD.search(t) is not None
+
+
+def _byte_chars() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: visible ones for
+    themselves, all others in order from U+0100."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+BYTE_CHARS = _byte_chars()
 
 
 class Encoder:
@@ -55,13 +75,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        # A pre-tokenizer that leaves words of letters whole lets them go straight to the model.
+        byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        trial = [" word", "Straße", " déjàvu"]
+        self.direct = byte_level and [self.word(w) for w in trial] == self.bytes_of(trial)
+
+    def word(self, piece: str) -> bytes:
+        """Ids of a word of letters, with or without a blank before it, from the model alone."""
+        tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def pieces_of(self, pieces: list[str]) -> dict[str, bytes]:
+        if not self.direct:
+            return dict(zip(pieces, self.bytes_of(pieces)))
+        tokenize, code = self.tokenizer.model.tokenize, self.code
+        out, rest = {}, []
+        for p in pieces:
+            if p.isalpha() or p[:1] == " " and p[1:].isalpha():
+                shown = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS)
+                out[p] = array(code, [t.id for t in tokenize(shown)]).tobytes()
+            else:
+                rest.append(p)
+        out.update(zip(rest, self.bytes_of(rest)))
+        return out
 
     def bytes_of(self, pieces: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in done]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if ODD.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t else [] for t in texts]
+        cut = [None if odd(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t else [] for t in texts]
         known = self.known
         if len(known) > CACHE:
             known.clear()
@@ -76,11 +120,11 @@ class Encoder:
         whole.update(p[:-1] for p in split)
         whole.update(",.")
         plain = list(whole.difference(known))
-        known.update(zip(plain, self.bytes_of(plain)))
+        known.update(self.pieces_of(plain))
         for p in split:
             known[p] = known[p[:-1]] + known[p[-1]]
-        odd = iter(self.bytes_of([t for t, pieces in zip(texts, cut) if pieces is None]))
-        return [next(odd) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        rest = iter(self.bytes_of([t for t, pieces in zip(texts, cut) if pieces is None]))
+        return [next(rest) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
 @lru_cache(2)
