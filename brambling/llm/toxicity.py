@@ -98,10 +98,19 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def smallest(rows: DataFrame, n: int, *ties: str) -> DataFrame:
+    """At most n rows, by the smallest hash of doc_id. A cut on the hash comes first, as the
+    smallest n of each of many tasks would all go to the driver; it leaves about 2 n rows."""
+    h, total = F.xxhash64("doc_id"), rows.count()
+    if total > 2 * n:
+        rows = rows.where(h < F.lit(int(-(2**63) + 2**64 * (2 * n / total))))
+    return rows.orderBy(h, "doc_id", *ties).limit(n)
+
+
 def labelled_ids(labels: DataFrame, fit_rows: int, id_col: str, label_col: str) -> DataFrame:
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     own = own.where(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return base.stored(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "labelled")
+    return base.stored(smallest(base.stored(own, "labels"), fit_rows), "labelled")
 
 
 def mine(rows: DataFrame, labelled: DataFrame, mined: int) -> tuple[list[tuple[str, bytes]], float]:
@@ -216,13 +225,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, mined: int
     votes = base.stored(vote_table(rows, terms), "votes")
     a, dependence = label_model(*moments(votes, m))
     strength = np.log((1 + a) / (1 - a)) / (1 + dependence)
-    sample = votes.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(fit_rows).collect()
+    sample = smallest(votes.where(~held_out()), fit_rows, "votes").collect()
     if not sample:
         return Model(terms, a, dependence, strength, math.log(prior / (1 - prior))), votes
     x = unpacked(sample, m)
     posterior = sigmoid(x @ strength + math.log(prior / (1 - prior)))
     w = logistic(x, posterior)
-    marked = votes.join(F.broadcast(labelled), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(fit_rows).collect()
+    marked = smallest(base.stored(votes.join(F.broadcast(labelled), "doc_id"), "marked"), fit_rows, "votes").collect()
     slope, shift = 1.0, 0.0
     y = np.array([float(r.label > 0) for r in marked])
     if len(y) and 0 < y.sum() < len(y):
