@@ -166,8 +166,9 @@ def star_pairs(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
     held = with_class(entries, classes)
     pick = F.struct(F.xxhash64("id", "key").alias("r"), "id", "comp")
     heads = held.groupBy("key").agg(F.min(pick).alias("head"), F.max(F.struct(F.xxhash64("comp", "key").alias("r"), "id", "comp")).alias("other"), F.count("*").alias("n"))
-    heads = heads.where("n > 1").select("key", "head", "other")
-    met = held.join(heads, "key")
+    # Stored, so that both sides of the join are dealt anew and a hot bucket can be split.
+    heads = base.stored(heads.where("n > 1").select("key", "head", "other"), "heads")
+    met = base.stored(held, "held").join(heads, "key")
     one = met.select("id", F.col("head.id").alias("rep"), "comp", F.col("head.comp").alias("to"))
     if classes is not None:
         two = met.where("comp <> other.comp AND head.comp <> other.comp").select("id", F.col("other.id").alias("rep"), "comp", F.col("other.comp").alias("to"))
