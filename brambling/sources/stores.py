@@ -164,7 +164,7 @@ def parse_queries(lines: DataFrame) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("seq", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("seq", "value"))
     return parse_queries(lines.select("value", F.col("seq").cast("long")))
 
 
