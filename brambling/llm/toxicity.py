@@ -41,7 +41,7 @@ SEEDS = (
     "worthless", "disgusting", "dumb", "imbecile", "jerk", "creep", "vermin", "filth", "fool", "coward", "bastard",
 )
 PREFIXES = (4, 5, 6)  #: bytes of mined word beginnings
-FIT_ROWS, MINED, PRECISION, GAIN, PRIOR, THRESHOLD, DENSE = 20_000, 96, 0.8, 30.0, 0.1, 0.3, 0.004
+FIT_ROWS, MINED, PRECISION, GAIN, PRIOR, THRESHOLD, DENSE, CURVE = 20_000, 96, 0.95, 30.0, 0.1, 0.3, 0.004, 10.0
 PATTERNS = ("seeds", "words", "beginnings", "several", "dense", "addressed")
 YOU = {b"you", b"your", b"youre", b"u"}
 
@@ -196,13 +196,14 @@ def label_model(both: np.ndarray, product: np.ndarray, least: int = 10) -> tuple
     return a, np.nansum(np.where(left > 0.05, left * share, 0), axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Newton steps of logistic regression to soft labels y; the last weight is the bias."""
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, bias_penalty: float = 1e-3, offset=0.0, steps: int = 30) -> np.ndarray:
+    """Newton steps of logistic regression to soft labels y; the last weight is the bias.
+    ``offset`` is added to the margin: the weights are then kept small against it."""
     x = np.column_stack([x, np.ones(len(x))])
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-3
+    ridge[-1] = bias_penalty
     for _ in range(steps):
-        p = sigmoid(x @ w)
+        p = sigmoid(x @ w + offset)
         gradient = x.T @ (p - y) + ridge * w
         hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
         step = np.linalg.solve(hessian, gradient)
@@ -238,7 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, mined: int
     slope, shift = 1.0, 0.0
     y = np.array([float(r.label > 0) for r in marked])
     if len(y) and 0 < y.sum() < len(y):
-        slope, shift = logistic((unpacked(marked, m) @ w[:-1] + w[-1])[:, None], y, 1e-3)
+        # Kept close to the classifier's own margin, or labels without errors would set the
+        # curve anywhere between the classes.
+        margin = unpacked(marked, m) @ w[:-1] + w[-1]
+        turn, shift = logistic(margin[:, None], y, CURVE, CURVE, margin)
+        slope = 1 + turn
     return Model(terms, a, dependence, w[:-1], float(w[-1]), float(slope), float(shift)), votes
 
 
