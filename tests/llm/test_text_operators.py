@@ -54,7 +54,7 @@ def test_phrases_are_found_everywhere(spark):
     docs = spark.createDataFrame([(1, text), (2, "mit license under the"), (3, None), (4, "")], "doc_id long, text string")
     rows = {r.doc_id: r for r in licenses.license_labels(docs).collect()}
     words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower().encode())
-    assert (rows[1].n_words, rows[1].n_base, rows[1].first_word, rows[1].last_word) == (len(words), 4, 1, 15)
+    assert (rows[1].n_words, rows[1].n_base, rows[1].first_word, rows[1].last_word) == (len(words), 4, 1, 16)
     assert rows[1].base_labels == "apache-2,cc-by-nc,mit" and rows[1].score == 1.0
     for i in (2, 3, 4):
         assert (rows[i].n_base, rows[i].first_word, rows[i].base_labels) == (0, None, "")
