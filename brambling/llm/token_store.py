@@ -38,11 +38,13 @@ END_ID = 2
 #: Ids in a chunk: cut where the hash has zeros in MEAN - 1's bits, between these bounds.
 LEAST, MEAN, MOST, WINDOW = 128, 512, 4096, 16
 #: Entries of a worker's caches, each emptied when full.
-CACHE, SEEN = 600_000, 200_000
+CACHE, SEEN = 1_200_000, 200_000
 
 #: White space besides blank and newline; in texts with any a slower look decides.
 RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD = re.compile(r"\s\s|^\s|\s\Z")
+#: What the byte-level pre-tokenizer's pattern comes to on visible ASCII.
+ASCII_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+")
 
 
 def odd(t: str) -> bool:
@@ -63,10 +65,41 @@ def _byte_chars() -> dict[int, int]:
 BYTE_CHARS = _byte_chars()
 
 
+class Pieces(dict):
+    """Ids, as bytes, of texts between single blanks and newlines, found when first asked for."""
+
+    def __init__(self, tokenizer, code: str, direct: bool):
+        super().__init__()
+        self.tokenizer, self.code, self.direct = tokenizer, code, direct
+
+    def word(self, part: str) -> bytes:
+        """Ids of what the pre-tokenizer leaves whole, from the model alone."""
+        shown = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def library(self, piece: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if not self.direct or not piece:
+            ids = self.library(piece)
+        elif piece.isalpha() or piece[0] == " " and piece[1:].isalpha():
+            ids = self.word(piece)
+        elif piece.isascii() and piece.isprintable():
+            parts = ASCII_PARTS.findall(piece)
+            ids = self.word(piece) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+        elif piece[-1] in ",." and piece[:-1].lstrip(" ").isalpha():  # a piece of its own after a letter
+            ids = self[piece[:-1]] + self[piece[-1]]
+        else:
+            ids = self.library(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as bytes. At single blanks and newlines the pre-tokenizer always
-    cuts, so pieces between them are encoded once and kept; other texts go to the library
-    as they are."""
+    cuts, so pieces between them are encoded once and kept; other texts, and those that
+    hold an added token's string, go to the library as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,57 +107,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        # A pre-tokenizer that leaves words of letters whole lets them go straight to the model.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A byte-level pre-tokenizer leaves words of letters whole: they go straight to the model.
         byte_level = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
-        trial = [" word", "Straße", " déjàvu"]
-        self.direct = byte_level and [self.word(w) for w in trial] == self.bytes_of(trial)
-
-    def word(self, piece: str) -> bytes:
-        """Ids of a word of letters, with or without a blank before it, from the model alone."""
-        tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))
-        return array(self.code, [t.id for t in tokens]).tobytes()
-
-    def pieces_of(self, pieces: list[str]) -> dict[str, bytes]:
-        if not self.direct:
-            return dict(zip(pieces, self.bytes_of(pieces)))
-        tokenize, code = self.tokenizer.model.tokenize, self.code
-        out, rest = {}, []
-        for p in pieces:
-            if p.isalpha() or p[:1] == " " and p[1:].isalpha():
-                shown = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS)
-                out[p] = array(code, [t.id for t in tokenize(shown)]).tobytes()
-            else:
-                rest.append(p)
-        out.update(zip(rest, self.bytes_of(rest)))
-        return out
-
-    def bytes_of(self, pieces: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        self.known = Pieces(self.tokenizer, "H" if self.kind.itemsize == 2 else "I", byte_level)
+        trial = [" word", "Straße", " déjàvu", " it's", "(a1,", " 'tis_", "we'll.", " x=3.5%"]
+        self.known.direct = byte_level and [self.known[w] for w in trial] == self.bytes_of(trial)
+        self.known.clear()
+
+    def bytes_of(self, texts: list[str]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in done]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if odd(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t else [] for t in texts]
-        known = self.known
+        known, whole = self.known, [odd(t) or any(a in t for a in self.added) if t else False for t in texts]
         if len(known) > CACHE:
             known.clear()
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        new.difference_update(known)
-        # A comma or full stop after a letter is a piece of its own.
-        split = [p for p in new if p[-1] in ",." and p[-2:-1].isalpha()]
-        whole = new.difference(split)
-        whole.update(p[:-1] for p in split)
-        whole.update(",.")
-        plain = list(whole.difference(known))
-        known.update(self.pieces_of(plain))
-        for p in split:
-            known[p] = known[p[:-1]] + known[p[-1]]
-        rest = iter(self.bytes_of([t for t, pieces in zip(texts, cut) if pieces is None]))
-        return [next(rest) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        rest = iter(self.bytes_of([t for t, w in zip(texts, whole) if w]))
+        ids = known.__getitem__
+        return [next(rest) if w else b"".join(map(ids, t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))) if t else b"" for t, w in zip(texts, whole)]
 
 
 @lru_cache(2)
