@@ -272,7 +272,9 @@ def write_store(docs: DataFrame, path: str | None = None, vocabulary: str | None
     path = path or base.shared_path(spark, "tokens")
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     staged = f"{path}/staged"
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")  # both kinds at once, without a sort of the payloads
     encode_documents(docs, vocabulary, end_id, id_col, text_col).write.option("compression", "zstd").partitionBy("kind").parquet(staged)
+    spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
     schema = ", ".join(ENCODED.split(", ")[1:])
     rows = spark.read.schema(schema + ", kind string").parquet(staged)
     chunks = rows.where("kind = 'chunk'").groupBy(F.col("root").alias("key")).agg(F.first("n").alias("n_ids"), F.first("payload").alias("payload"))
