@@ -71,11 +71,12 @@ class Pieces(dict):
     def __init__(self, tokenizer, code: str, direct: bool):
         super().__init__()
         self.tokenizer, self.code, self.direct = tokenizer, code, direct
+        self.tokenize = tokenizer.model.tokenize  # each look at .model makes an object
 
     def word(self, part: str) -> bytes:
         """Ids of what the pre-tokenizer leaves whole, from the model alone."""
         shown = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
     def library(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -296,13 +297,15 @@ def chunk_facts(chunks: DataFrame, width: int = 2) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys, sizes, crcs = batch.column("key").to_pylist(), [], []
-            for key, payload in zip(keys, batch.column("payload").to_pylist()):
+            keys, payloads = batch.column("key").to_pylist(), batch.column("payload").to_pylist()
+            for key, payload in zip(keys, payloads):
                 if key_of(payload) != key:
                     raise ValueError(f"chunk {key.hex()} doesn't hold what its key says")
-                sizes.append(len(payload) // width)
-                crcs.append(zlib.crc32(np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["key", "n_ids", "crc"])
+            sizes = np.fromiter(map(len, payloads), np.int64, len(payloads)) // width
+            wide = memoryview(np.frombuffer(b"".join(payloads), f"<u{width}").astype("<u4").tobytes())
+            ends = (4 * np.cumsum(sizes)).tolist()
+            crcs = [zlib.crc32(wide[s:e]) for s, e in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes), pa.array(crcs, pa.int64())], ["key", "n_ids", "crc"])
 
     return chunks.select("key", "payload").mapInArrow(run, "key binary, n_ids long, crc long")
 
@@ -322,11 +325,15 @@ def verify_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     def run(batches):
         for batch in batches:
             crcs = []
-            starts, sizes, roots, counts, parts = (batch.column(c).to_pylist() for c in ("start", "n_tokens", "root", "n_keys", "parts"))
-            for start, n, root, count, own in zip(starts, sizes, roots, counts, parts):
-                if len(own) != count or merkle([p["key"] for p in own]) != root or sum(p["n_ids"] or 0 for p in own) != n:
+            starts, sizes, roots, counts = (batch.column(c).to_pylist() for c in ("start", "n_tokens", "root", "n_keys"))
+            parts = batch.column("parts")
+            ends = np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            flat = parts.flatten()  # column by column: a dict for each chunk takes far longer
+            keys, n_ids, own_crcs = (flat.field(c).to_pylist() for c in ("key", "n_ids", "crc"))
+            for start, n, root, count, i, j in zip(starts, sizes, roots, counts, [0, *ends], ends):
+                if j - i != count or None in n_ids[i:j] or merkle(keys[i:j]) != root or sum(n_ids[i:j]) != n:
                     raise ValueError(f"the document at {start} can't be put together from its recipe")
-                crcs.append(joined_crc([(4 * p["n_ids"], p["crc"]) for p in own]))
+                crcs.append(joined_crc([(4 * k, c) for k, c in zip(n_ids[i:j], own_crcs[i:j])]))
             columns = [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crcs, pa.int64()), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks"])
 
