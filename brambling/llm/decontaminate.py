@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-SHINGLE, THRESHOLD, BINS, FEW, BLOCK_BYTES, CACHE = 5, 0.8, 4, 8, 32_000_000, 500_000
+SHINGLE, THRESHOLD, BINS, FEW, BLOCK_BYTES, CACHE = 5, 0.8, 4, 8, 32_000_000, 100_000
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
 
