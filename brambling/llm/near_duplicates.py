@@ -12,10 +12,14 @@ band of diagonals that a qualifying pair can't leave:
 over distinct shingles at their first places; it is at most the Jaccard similarity, and
 equal to it for texts edited in place.
 
-Two texts of similarity 0.8 agree in one band with a chance of 0.51, in none of 20 with
-6e-7. Buckets are never expanded into pairs: members are compared with a representative,
-picked anew by hash in each bucket, in rounds that leave out pairs already in one class;
-the last round compares what failed with a second representative of another class.
+Two texts whose labelled shingles have similarity 0.8 agree in one band with a chance of
+0.51, in none of 20 with 6e-7; all pairs that meet in a bucket are compared or already in
+one class. First members are compared with a representative, picked by hash in each
+bucket, in the last round the member in most buckets (an original among its variants).
+What stays separate is finished exactly: buckets of more than one class are dealt into
+blocks by length and class, and each pair of blocks that may hold a link is one matrix
+product of shared shingles, whose pairs of Jaccard similarity 0.8 are aligned. Only links
+leave it. Its work grows with the square of the classes in a bucket.
 
 Exact copies meet first, by a hash of the text: only one of each goes on.
 
@@ -40,6 +44,8 @@ from .decontaminate import Hashes, grams
 
 SHINGLE, THRESHOLD, BANDS, SAMPLE = 5, 0.8, 20, 3
 ROUNDS = ((0, 6), (6, 20))  #: bands compared in each round
+#: Members, and bytes of their sequences, in a block of a bucket.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 1_000_000, 4096
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (k * 0xD1342543DE82EF95)) % 2**64 | 1 for k in range(1, BANDS + 1)], np.uint64)
 
 
@@ -129,7 +135,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def sequences(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, seq) of the candidate documents, stored for all rounds."""
+    """(id, seq, size) of the candidate documents, stored for all rounds."""
 
     def run(batches):
         hashes = Hashes()
@@ -138,7 +144,7 @@ def sequences(rows: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(seq, pa.binary())], ["id", "seq"])
 
     own = base.by_ids(rows, ids, "doc_id", "left_semi").select("doc_id", "text")
-    return own.mapInArrow(run, "id long, seq binary").groupBy("id").agg(F.first("seq").alias("seq"))
+    return own.mapInArrow(run, "id long, seq binary").groupBy("id").agg(F.first("seq").alias("seq")).withColumn("size", F.length("seq"))
 
 
 def verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -160,11 +166,13 @@ def with_class(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
     return entries.join(classes, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def star_pairs(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
+def star_pairs(entries: DataFrame, classes: DataFrame | None, shared: DataFrame | None = None) -> DataFrame:
     """entries (key, id) -> distinct (a, b): every member of a bucket with one of it, or,
-    from the second round on, with one of another class where there is one."""
+    from the second round on, with one of another class where there is one. With
+    ``shared`` (id, buckets) the first is the member in most buckets."""
     held = with_class(entries, classes)
-    pick = F.struct(F.xxhash64("id", "key").alias("r"), "id", "comp")
+    held = held.withColumn("buckets", F.lit(0)) if shared is None else held.join(shared, "id")
+    pick = F.struct((-F.col("buckets")).alias("few"), F.xxhash64("id", "key").alias("r"), "id", "comp")
     heads = held.groupBy("key").agg(F.min(pick).alias("head"), F.max(F.struct(F.xxhash64("comp", "key").alias("r"), "id", "comp")).alias("other"), F.count("*").alias("n"))
     # Stored, so that both sides of the join are dealt anew and a hot bucket can be split.
     heads = base.stored(heads.where("n > 1").select("key", "head", "other"), "heads")
@@ -176,6 +184,105 @@ def star_pairs(entries: DataFrame, classes: DataFrame | None) -> DataFrame:
     return one.where("id <> rep AND comp <> to").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
 
 
+def open_members(entries: DataFrame, classes: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, comp, size, band) of the buckets with members of several classes. Two
+    members have compared each other in the rounds, and of equal buckets one is enough.
+    Texts whose length bands aren't the same or next to each other can't be similar."""
+    held = base.stored(with_class(entries, classes), "held")
+    marks = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}") for k in (1, 2)]
+    several = held.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *marks)
+    several = several.where("n > 2 AND low <> high").groupBy("n", "low", "high", "mark1", "mark2").agg(F.min("key").alias("key"))
+    own = held.join(base.stored(several.select("key"), "open"), "key").join(seqs.select("id", "size"), "id")
+    step = -1.0001 * float(np.log(threshold))
+    return base.stored(own.withColumn("band", F.floor(F.log("size") / step).cast("int")), "open")
+
+
+def block_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members -> (key, band, pool, no, id, comp), each in its block, and the pairs of
+    blocks (pair, key, a, b) that may hold a link. A large class has blocks of its own,
+    which aren't compared with each other; small classes share a pool."""
+    per = members.groupBy("key", "band", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    per = base.stored(per.withColumn("pool", F.when(F.col("n") > BLOCK, F.col("comp").cast("string")).otherwise("")), "classes")
+    pools = per.groupBy("key", "band", "pool").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    pools = base.stored(pools.select("key", "band", "pool", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("blocks")), "pools")
+    of = per.select("key", "band", "comp", "pool").join(pools, ["key", "band", "pool"])
+    placed = members.join(base.stored(of, "pools"), ["key", "band", "comp"])
+    placed = placed.select("key", "band", "pool", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("no"), "id", "comp")
+    blocks = pools.select("key", "band", "pool", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("no")).select("key", F.struct("band", "pool", "no").alias("b"))
+    both = blocks.withColumnRenamed("b", "a").join(blocks, "key").where("a <= b AND b.band <= a.band + 1 AND (a.pool <> b.pool OR a.pool = '')")
+    return placed, base.stored(both.withColumn("pair", F.monotonically_increasing_id()), "blocks")
+
+
+def block_links(first: list[tuple], second: list[tuple] | None, threshold: float) -> list[tuple[int, int]]:
+    """Links between classes among (id, comp, seq) of one block, or between two; those
+    within what is already linked here are left out."""
+    others = first if second is None else second
+    all_of = first if second is None else first + second
+    if len({r[1] for r in all_of}) < 2:
+        return []
+    seqs = [np.unique(np.frombuffer(r[2], "<u4")) for r in all_of]
+    owner = np.repeat(np.arange(len(seqs)), [len(s) for s in seqs])
+    _, column, count = np.unique(np.concatenate(seqs), return_inverse=True, return_counts=True)
+    often = count > 1  # the others add to no intersection
+    held = often[column]
+    owner, column = owner[held], (np.cumsum(often) - 1)[column[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    at = 0 if second is None else len(first)
+    met = np.zeros((len(first), len(others)), np.float32)
+    for low in range(0, int(often.sum()), COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(seqs), COLUMNS), np.float32)
+        has[owner[i:j], column[i:j] - low] = 1
+        met += has[: len(first)] @ has[at:].T
+    sizes = np.array([len(r[2]) // 4 for r in all_of])
+    comps = np.array([r[1] for r in all_of], np.int64)
+    fits = met >= threshold * (sizes[: len(first), None] + sizes[None, at:] - met) - 1e-3
+    fits &= comps[: len(first), None] != comps[None, at:]
+    if second is None:
+        fits = np.triu(fits, 1)
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(fits))):
+        (a, comp, x), (b, to, y) = first[i], others[j]
+        if find(comp) != find(to) and similarity(x, y, threshold) >= threshold:
+            parent[find(comp)] = find(to)
+            links.append((min(a, b), max(a, b)))
+    return links
+
+
+def finished(entries: DataFrame, classes: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that join all classes which have one in any bucket."""
+    placed, pairs = block_pairs(open_members(entries, classes, seqs, threshold))
+    sides = pairs.select("pair", F.lit(0).alias("side"), "key", "a.*").union(pairs.where("a <> b").select("pair", F.lit(1), "key", "b.*"))
+    sent = sides.join(placed, ["key", "band", "pool", "no"]).select("pair", "side", "id", "comp").join(seqs.select("id", "seq"), "id")
+
+    def run(batches):
+        now, held = None, ([], [])
+        for batch in batches:
+            links = []
+            for pair, side, *row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "id", "comp", "seq"))):
+                if pair != now:
+                    links += block_links(held[0], held[1] or None, threshold)
+                    now, held = pair, ([], [])
+                held[side].append(tuple(row))
+            yield arrow_links(links)
+        yield arrow_links(block_links(held[0], held[1] or None, threshold))
+
+    return sent.repartition("pair").sortWithinPartitions("pair", "side").mapInArrow(run, "a long, b long")
+
+
+def arrow_links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id: one row for each row of docs."""
     spark = docs.sparkSession
@@ -188,11 +295,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     # Buckets of one text need no look.
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     entries = base.stored(entries.join(shared, "key", "left_semi"), "entries")
-    candidates = base.stored(entries.select("id").distinct(), "candidates")
+    candidates = base.stored(entries.groupBy("id").agg(F.count("*").alias("buckets")), "candidates")
     seqs = base.stored(sequences(rows, candidates), "sequences")
     edges, classes, tried = None, None, None
     for low, high in (*ROUNDS, (0, BANDS)):
-        pairs = star_pairs(entries.where(f"band >= {low} AND band < {high}").select("key", "id"), classes)
+        pairs = star_pairs(entries.where(f"band >= {low} AND band < {high}").select("key", "id"), classes, candidates if high - low == BANDS else None)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         found = base.stored(verified(pairs, seqs, threshold), "pairs")
@@ -201,6 +308,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         edges = good if edges is None else edges.union(good)
         if classes is None or good.head(1):
             classes = components(edges)
+    links = base.stored(finished(entries.select("key", "id"), classes, seqs, threshold), "links")
+    if links.head(1):
+        classes = components(edges.union(links))
     same = texts.select("same", "id").join(classes, "id", "left").select("same", F.coalesce("comp", "id").alias("class_id"))
     same = base.stored(same, "classes")
     return all_rows.select("doc_id", "same").join(same, "same").select("doc_id", "class_id")

@@ -194,6 +194,59 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == sorted(set(got.values()))
 
 
+def test_variants_linked_through_their_original_alone(spark):
+    rnd = random.Random(12)
+    text = [f"w{i}" for i in range(200)]
+    rows = [" ".join(text)]
+    for v in range(400):
+        own = list(text)
+        for k, at in enumerate(rnd.sample(range(3, 39), 4)):
+            own[5 * at] = f"v{v}x{k}"
+        rows.append(" ".join(own))
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute_classes(rows)
+    assert len(set(want.values())) == 1
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_buckets_are_finished_exactly(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    rnd = random.Random(13)
+    seqs, entries, classes = {}, [], []
+    for g in range(3):  # no star round before: all links are left to the blocks
+        text = [rnd.randrange(1, 2**32) for _ in range(100)]
+        for v in range(60):
+            own = list(text)
+            for at in rnd.sample(range(100), rnd.choice([0, 5, 11, 16])):
+                own[at] = rnd.randrange(1, 2**32)
+            i = 100 * g + v
+            seqs[i] = np.array(own[: rnd.choice([100, 100, 90, 70])], "<u4").tobytes()
+            entries += [(k, i) for k in (1, 2 + g)]
+            classes.append((i, 100 * g + 20 if 20 <= v < 55 else i))
+    of = dict(classes)
+    want = {(a, b) for a in seqs for b in seqs if a < b and of[a] != of[b] and near_duplicates.similarity(seqs[a], seqs[b]) >= 0.8}
+
+    def components_of(links):
+        parent = dict(classes)
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return {i: find(i) for i in parent}
+
+    tables = (spark.createDataFrame(entries, "key long, id long"), spark.createDataFrame(classes, "id long, comp long"),
+              spark.createDataFrame([(i, s, len(s)) for i, s in seqs.items()], "id long, seq binary, size int"))
+    links = {tuple(r) for r in near_duplicates.finished(*tables, 0.8).collect()}
+    assert links <= want and components_of(links) == components_of(want)
+    assert len(want) > 100
+
+
 def test_duplicates_in_odd_tables(spark):
     schema = "doc_id long, text string"
     assert near_duplicates.near_duplicates(spark.createDataFrame([], schema)).count() == 0
