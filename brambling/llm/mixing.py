@@ -8,22 +8,24 @@ Documents are exploded by their counts and dealt into a global order by a second
 
 Defined results: a null source counts as the source ''; a null id hashes like the text
 'null'; repeated rows are repeated equally; an empty table gives an empty one; a source
-of weight 0 goes. The columns ``copy_no`` and ``shuffle_key`` replace any of those names.
+of weight 0 goes; any rate is drawn, as one row of a source may stand for many. The columns ``copy_no`` and ``shuffle_key`` replace any of those names.
 The hash decides the partition directly, so no sampling pass and no hot partition: a hot
 source is spread like all others.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
 
-#: Rates above this would underflow exp(-rate); they ask for another plan than repetition.
-MAX_RATE = 500.0
-#: Up to so many sources the table of rates is broadcast; else it is joined by shuffle.
-BROADCAST_SOURCES = 20_000
+#: Rates above this would underflow exp(-rate); their chances are summed about the mean.
+FAR_RATE = 500.0
+#: Up to so many sources and chances the table of rates is broadcast; else it is joined by shuffle.
+BROADCAST_SOURCES, BROADCAST_CHANCES = 20_000, 16_000_000
 BITS = 52
 
 
@@ -37,8 +39,27 @@ def hashed(*parts):
     return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
 
 
+def far_chances(rate: float) -> tuple[int, np.ndarray]:
+    """The least count of any weight, and the chances of at most so many repetitions from
+    there on. Counts beyond 12 deviations have chances below any number drawn."""
+    least, last = int(rate - 12 * rate**0.5), int(rate + 12 * rate**0.5 + 30)
+    logs = np.cumsum(np.log(rate / np.arange(least + 1, last + 1)))
+    p = np.exp(np.concatenate([[0.0], logs]) - logs.max())
+    return least, np.cumsum(p) / p.sum()
+
+
+def far_rates(per: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found = [far_chances(r) for r in batch.column("rate").to_pylist()]
+            first, cdf = pa.array([f for f, _ in found], pa.int32()), pa.array([c for _, c in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source", "n", "rate")), first, cdf], ["source", "n", "rate", "first", "cdf"])
+
+    return per.mapInArrow(run, "source string, n long, rate double, first int, cdf array<double>")
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float, epochs: float, source_col: str) -> DataFrame:
-    """(source, n, rate, cdf): cdf[k] is the chance of at most k repetitions."""
+    """(source, n, rate, first, cdf): cdf[k] is the chance of at most first + k repetitions."""
     spark = docs.sparkSession
     per = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n"))
     weight = F.lit(float(default_weight))
@@ -47,9 +68,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
     per = base.stored(per.withColumn("weight", weight), "sources")
     rows, total, most = per.agg(F.sum("n"), F.sum("weight"), F.max(F.col("weight") / F.col("n"))).first()
     if not total:
-        return spark.createDataFrame([], "source string, n long, rate double, cdf array<double>")
-    if (rate := epochs * rows * most / total) > MAX_RATE:
-        raise ValueError(f"a source would be repeated {rate:.0f} times; at most {MAX_RATE:.0f}")
+        return spark.createDataFrame([], "source string, n long, rate double, first int, cdf array<double>")
     rate = F.lit(float(epochs)) * F.lit(rows) * F.col("weight") / F.lit(float(total)) / F.col("n")
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     start = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
@@ -58,7 +77,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: flo
         p = acc["p"] * F.col("rate") / k
         return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
 
-    return per.withColumn("rate", rate).select("source", "n", "rate", F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["cdf"]).alias("cdf"))
+    per = per.select("source", "n", rate.alias("rate"))
+    cdf = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda a: a["cdf"]).alias("cdf")
+    columns = ("source", "n", "rate", F.lit(0).alias("first"), cdf)
+    if epochs * rows * most / total <= FAR_RATE:
+        return per.select(*columns)
+    return per.where(F.col("rate") <= FAR_RATE).select(*columns).union(far_rates(per.where(F.col("rate") > FAR_RATE)))
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, epochs: float = 1.0,
@@ -67,13 +91,14 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, defaul
     ``shuffle_key`` (ties: by id and copy). ``epochs``: rows of the mix over rows of docs."""
     spark = docs.sparkSession
     own = [c for c in docs.columns if c.lower() not in ("copy_no", "shuffle_key")]
-    rates = source_rates(docs, weights or {}, default_weight, epochs, source_col).select(F.col("source").alias("__source"), "cdf")
-    rates = rates.withColumnRenamed("cdf", "__cdf")
-    if base.stored(rates, "rates").count() <= BROADCAST_SOURCES:
+    rates = source_rates(docs, weights or {}, default_weight, epochs, source_col)
+    rates = base.stored(rates.select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf")), "rates")
+    sources, chances = rates.agg(F.count("*"), F.sum(F.size("__cdf"))).first()
+    if sources <= BROADCAST_SOURCES and (chances or 0) <= BROADCAST_CHANCES:
         rates = F.broadcast(rates)
     keyed = docs.select(*own).withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     joined = keyed.join(rates, "__source").withColumn("__u", uniform(F.lit(seed), F.col(id_col)))
-    counted = joined.withColumn("__count", F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).where("__count > 0")
+    counted = joined.withColumn("__count", F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).where("__count > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count"))))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit(f"{seed}|order"), F.col(id_col), F.col("copy_no"))).select(*own, "copy_no", "shuffle_key")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

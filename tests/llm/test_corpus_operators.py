@@ -99,6 +99,24 @@ def test_counts_are_poisson(spark):
     assert np.abs(counts[:4] - want).max() < 4 * np.sqrt(want.max())
 
 
+def test_a_source_of_one_row(spark):
+    docs = spark.range(20000).selectExpr("id AS doc_id", "if(id = 77, null, concat('s', id % 20)) AS source")
+    n = {r.source: r["count"] for r in mixing.poisson_mix(docs, epochs=1.2).groupBy("source").count().collect()}
+    rate = 1.2 * 20000 / 21
+    assert len(n) == 21 and abs(n[None] - rate) < 6 * rate**0.5
+    assert all(abs(n[f"s{k}"] - rate) < 6 * rate**0.5 for k in range(20))
+
+
+def test_chances_of_large_rates(spark):
+    for rate in (500.5, 650.0):  # the direct sum doesn't underflow yet
+        p = np.exp(-rate) * np.cumprod(np.concatenate([[1.0], rate / np.arange(1, 1100)]))
+        first, cdf = mixing.far_chances(rate)
+        assert np.abs(np.cumsum(p)[first : first + len(cdf)] - cdf).max() < 1e-11
+    docs = spark.range(300).selectExpr("id AS doc_id", "'s' AS source")
+    counts = [r[1] for r in mixing.poisson_mix(docs, epochs=3000.0).groupBy("doc_id").count().collect()]
+    assert len(counts) == 300 and abs(np.mean(counts) - 3000) < 20 and 0.7 < np.var(counts) / 3000 < 1.4
+
+
 # urls
 def test_url_contract_and_odd_rows(spark):
     rows = [(1, "http://A.Example.com/en/5?x"), (2, "https://www.example.com/en/1"), (3, "http://www.example.com"), (4, "HTTP://x.net/es/9.html#a"), (5, None),
