@@ -8,9 +8,10 @@ passages give equal chunks wherever they stand. The store holds
 * ``recipes``: in ascending doc_id order doc_id, start, n_tokens, the chunk keys and their
   Merkle root;
 * ``manifest``: of each recipes partition its place, sizes and the Merkle root over its
-  documents' roots.
+  documents' roots; as part -1 the sums, and the root over the partitions' roots.
 
-Reading back checks every chunk against its key and every document against its root; the
+Reading back checks every chunk against its key, every document against its root and all
+recipes against the manifest, so that none is missing, repeated or out of place; the
 CRC of a document comes from those of its chunks, so payloads are never shuffled again.
 
 Defined results: a null or empty text is the end id alone; null ids come first; rows of
@@ -182,6 +183,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0] if leaves else hashlib.sha256(b"\0").digest()
 
 
+class Merkle:
+    """The root of ``merkle`` over leaves that come one by one; holds one node a level."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.nodes and self.nodes[-1][0] == level:
+            leaf = hashlib.sha256(b"\1" + self.nodes.pop()[1] + leaf).digest()
+            level += 1
+        self.nodes.append((level, leaf))
+
+    def root(self) -> bytes:
+        if not self.nodes:
+            return merkle([])
+        root = self.nodes[-1][1]
+        for _, node in self.nodes[-2::-1]:
+            root = hashlib.sha256(b"\1" + node + root).digest()
+        return root
+
+
 def joined_crc(parts: list[tuple[int, int]]) -> int:
     """CRC-32 of joined pieces from (bytes, CRC-32) of each: as a CRC is affine in its
     start value, running zeros of a piece's length over it moves it on."""
@@ -230,37 +253,52 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_
     return base.texts(docs, id_col, text_col).mapInArrow(run, ENCODED)
 
 
+MANIFEST = "part int, offset long, n_docs long, n_ids long, root binary"
+WHOLE = -1  #: the part that stands for all
+
+
+def manifest_rows(parts: list[tuple]) -> list[tuple]:
+    """(part, n_docs, n_ids, root) in order of part -> rows of the manifest."""
+    rows, docs, at = [], 0, 0
+    for part, n_docs, n_ids, root in parts:
+        rows.append((part, at, n_docs, n_ids, bytes(root)))
+        docs, at = docs + n_docs, at + n_ids
+    return [*rows, (WHOLE, 0, docs, at, merkle([r[4] for r in rows]))]
+
+
 def ordered(recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """recipes with ``start`` in ascending doc_id order, and the manifest. A partition
-    numbers its own ids; the partitions' sums, one row each, shift it."""
+    numbers its own ids and ends with a row of its sums and root; the sums shift it."""
     spark = recipes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("root").asc()]
+    names = ["doc_id", "part", "local", "n_tokens", "keys", "root", "n_docs"]
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, docs, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
         for batch in batches:
             counts = np.array(batch.column("n_tokens").to_pylist(), np.int64)
             ends = at + np.cumsum(counts)
             local = pa.array(ends - counts, pa.int64())
-            at = int(ends[-1]) if len(ends) else at
+            at, docs = int(ends[-1]) if len(ends) else at, docs + len(ends)
+            for root in batch.column("root").to_pylist():
+                tree.add(root)
             columns = [batch.column("doc_id"), pa.array([part] * len(counts), pa.int32()), local, *(batch.column(c) for c in ("n_tokens", "keys", "root"))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "local", "n_tokens", "keys", "root"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(counts), pa.int64())], names)
+        if docs:
+            sums = [(None, pa.int64()), (part, pa.int32()), (None, pa.int64()), (at, pa.int64()), (None, pa.list_(pa.binary())), (tree.root(), pa.binary()), (docs, pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in sums], names)
 
     placed = base.stored(
         recipes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        .mapInArrow(run, "doc_id long, part int, local long, n_tokens long, keys array<binary>, root binary"),
+        .mapInArrow(run, "doc_id long, part int, local long, n_tokens long, keys array<binary>, root binary, n_docs long"),
         "ordered",
     )
-    sums = placed.groupBy("part").agg(F.sum("n_tokens").alias("n_ids"), F.count("*").alias("n_docs")).orderBy("part").collect()
-    offsets, at = [], 0
-    for r in sums:
-        offsets.append((r.part, at, r.n_docs, r.n_ids))
-        at += r.n_ids
-    parts = spark.createDataFrame(offsets, "part int, offset long, n_docs long, n_ids long")
-    out = placed.join(F.broadcast(parts.select("part", "offset")), "part")
+    sums = placed.where("n_docs IS NOT NULL").select("part", "n_docs", "n_tokens", "root").orderBy("part").collect()
+    parts = spark.createDataFrame(manifest_rows([tuple(r) for r in sums]), MANIFEST)
+    out = placed.where("n_docs IS NULL").join(F.broadcast(parts.select("part", "offset")), "part")
     return out.select("doc_id", (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "keys", "root"), parts
 
 
@@ -282,7 +320,7 @@ def write_store(docs: DataFrame, path: str | None = None, vocabulary: str | None
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes, manifest = ordered(rows.where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), "keys", "root"))
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    manifest.write.parquet(f"{path}/manifest")
+    manifest.coalesce(1).write.parquet(f"{path}/manifest")
     base.delete(spark, rows)
     return path
 
@@ -310,11 +348,52 @@ def chunk_facts(chunks: DataFrame, width: int = 2) -> DataFrame:
     return chunks.select("key", "payload").mapInArrow(run, "key binary, n_ids long, crc long")
 
 
+def check_manifest(spark: SparkSession, path: str, recipes: DataFrame) -> None:
+    """Raises if the recipes aren't those of the manifest: of each partition the places,
+    sizes and root are computed again from ``start`` order, and the root over all."""
+    said = sorted(tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect())
+    parts = [r for r in said if r[0] != WHOLE]
+    if sorted(manifest_rows([(part, n_docs, n_ids, root) for part, _, n_docs, n_ids, root in parts])) != [(*r[:4], bytes(r[4])) for r in said]:
+        raise ValueError("the manifest's partitions don't fit its sums")
+    offsets = [r[1] for r in parts]
+
+    def place(batches):
+        for batch in batches:
+            starts = batch.column("start").to_numpy()
+            part = np.searchsorted(offsets, starts, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns], ["at", "start", "n_tokens", "root"])
+
+    def run(batches):
+        now, next_start, docs, whole, tree, rows = None, 0, 0, True, Merkle(), []
+        for batch in batches:
+            for at, start, n, root in zip(*(batch.column(c).to_pylist() for c in ("at", "start", "n_tokens", "root"))):
+                if at != now:
+                    if docs:
+                        rows.append((now, docs, next_start, tree.root(), whole))
+                    now, next_start, docs, whole, tree = at, offsets[at] if at >= 0 else 0, 0, True, Merkle()
+                whole &= start == next_start
+                next_start, docs = start + n, docs + 1
+                tree.add(root)
+        if docs:
+            rows.append((now, docs, next_start, tree.root(), whole))
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["at", "n_docs", "end", "root", "whole"])
+
+    own = recipes.select("start", "n_tokens", "root").mapInArrow(place, "at int, start long, n_tokens long, root binary")
+    own = own.repartitionById(max(1, len(parts)), F.greatest("at", F.lit(0))).sortWithinPartitions("at", "start").mapInArrow(run, "at int, n_docs long, end long, root binary, whole boolean")
+    got = {r.at: (r.n_docs, r.end, bytes(r.root), r.whole) for r in own.collect()}
+    want = {k: (n_docs, offset + n_ids, bytes(root), True) for k, (_, offset, n_docs, n_ids, root) in enumerate(parts)}
+    if wrong := sorted(k for k in got.keys() | want.keys() if got.get(k) != want.get(k)):
+        raise ValueError(f"the recipes of {len(wrong)} of {len(parts)} partitions aren't those of the manifest")
+
+
 def verify_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks of every document, from what is stored.
-    Fails on a chunk, recipe or root that doesn't fit. ``width``: bytes of a stored id."""
+    Fails on a chunk, recipe or root that doesn't fit, at once on recipes that aren't
+    those of the manifest. ``width``: bytes of a stored id."""
     base.arrow_limits(spark)
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
+    check_manifest(spark, path, recipes)
     facts = chunk_facts(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), width)
     entries = recipes.select("doc_id", "start", "n_tokens", "root", F.size("keys").alias("n_keys"), F.posexplode("keys").alias("pos", "key"))
     found = entries.join(facts, "key", "left")  # start tells rows apart: each has an id at least

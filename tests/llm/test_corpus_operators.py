@@ -4,6 +4,7 @@ exact round trips and held-out labels; odd tables."""
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -62,6 +63,39 @@ def test_damage_is_noticed(spark):
         token_store.verify_store(spark, path).collect()
 
 
+def test_lost_recipes_are_noticed(spark):
+    docs = spark.createDataFrame([(i % 90, f"text {i} " * (i % 7)) for i in range(100)], "doc_id long, text string")
+    path = token_store.write_store(docs)
+    assert token_store.verify_store(spark, path).count() == 100
+    recipes = spark.read.schema(token_store.RECIPES).parquet(f"{path}/recipes").collect()
+    manifest = spark.read.schema(token_store.MANIFEST).parquet(f"{path}/manifest").collect()
+    (whole,) = [r for r in manifest if r.part == token_store.WHOLE]
+    parts = sorted(r for r in manifest if r.part != token_store.WHOLE)
+    assert len(parts) > 1 and whole.n_docs == 100 and whole.root == token_store.merkle([bytes(r.root) for r in parts])
+    by_start = sorted(recipes, key=lambda r: r.start)
+    second = [r for r in by_start if r.start >= parts[1].offset]
+    damaged = ([r for r in recipes if r != by_start[40]], by_start[:-1], by_start[1:], [*recipes, by_start[3]], second, [])
+    for rows in damaged:  # a row, the last, the first, one twice, a whole partition, all
+        spark.createDataFrame(rows, token_store.RECIPES).write.mode("overwrite").parquet(f"{path}/recipes")
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.verify_store(spark, path).collect()
+    spark.createDataFrame(recipes, token_store.RECIPES).write.mode("overwrite").parquet(f"{path}/recipes")
+    assert token_store.verify_store(spark, path).count() == 100
+    next(f for f in Path(path.removeprefix("file://"), "recipes").glob("*.parquet") if spark.read.parquet(str(f)).count()).unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.verify_store(spark, path).collect()
+    empty = token_store.write_store(docs.limit(0))
+    assert token_store.verify_store(spark, empty).count() == 0
+
+
+def test_merkle_of_leaves_one_by_one():
+    for n in range(40):
+        tree, leaves = token_store.Merkle(), [bytes([k]) * 32 for k in range(n)]
+        for leaf in leaves:
+            tree.add(leaf)
+        assert tree.root() == token_store.merkle(leaves)
+
+
 def test_equal_passages_share_chunks():
     ids = np.random.default_rng(1).integers(0, 50000, 9000).astype("<u2")
     shifted = np.concatenate([ids[:7], ids])
