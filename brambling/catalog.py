@@ -195,7 +195,7 @@ def hashed_embeddings(spark, sf):
 @query()
 def lda_topics(spark, sf):
     docs = _read(spark, sf, "documents")
-    return index.topic_distributions(docs, topics=20, max_iter=5, vocabulary=5000).select("doc_id", V.argmin(F.col("topics")).alias("topic"), F.size("topics").alias("k"))
+    return index.topic_distributions(docs, min_df=1.0).select("doc_id", V.argmin(F.col("topics")).alias("topic"), F.size("topics").alias("k"))
 
 
 # Search ----------------------------------------------------------------------------------

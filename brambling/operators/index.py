@@ -62,9 +62,9 @@ def dense_vectors(sparse: DataFrame, id_col: str = "doc_id", dimensions: int = D
     return held.select(id_col, every.alias("embedding"))
 
 
-def topic_distributions(docs: DataFrame, topics: int = 100, max_iter: int = 20, vocabulary: int = 20_000, min_df: float = 2.0, seed: int = 0, text_col: str = "text") -> DataFrame:
-    """doc_id, topics array<double>: LDA over count vectors of the vocabulary's most
-    frequent terms. An empty corpus has no topics."""
+def topic_distributions(docs: DataFrame, topics: int = 100, max_iter: int = 20, vocabulary: int | None = None, min_df: float = 2.0, seed: int = 0, text_col: str = "text") -> DataFrame:
+    """doc_id, topics array<double>: LDA over count vectors of all terms, or of the
+    ``vocabulary`` most frequent ones. An empty corpus has no topics."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
@@ -72,6 +72,6 @@ def topic_distributions(docs: DataFrame, topics: int = 100, max_iter: int = 20,
     tokens = docs.select("doc_id", T.vector_terms(F.col(text_col)).alias("tokens"))
     if not tokens.where(F.size("tokens") > 0).head(1):
         return docs.select("doc_id", F.array().cast("array<double>").alias("topics")).limit(0)
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=min_df).fit(tokens).transform(tokens)
+    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary or 2**31 - 1, minDF=min_df).fit(tokens).transform(tokens)
     model = LDA(k=topics, seed=seed, maxIter=max_iter).fit(counts)
     return model.transform(counts).select("doc_id", vector_to_array("topicDistribution").alias("topics"))

@@ -249,3 +249,26 @@ def test_topics(spark):
     out = index.topic_distributions(docs, topics=3, max_iter=2, min_df=1.0).collect()
     assert len(out) == 3 and all(len(r.topics) == 3 for r in out)
     assert index.topic_distributions(docs.limit(0)).count() == 0
+
+
+def test_registered_topics_are_whole(spark, sf, monkeypatch):
+    from pyspark.ml import clustering, feature
+
+    from brambling import catalog
+
+    seen = {}
+
+    def fit_counts(self, tokens, fit=feature.CountVectorizer.fit):
+        model = fit(self, tokens)
+        seen["terms"] = (len(model.vocabulary), self.getVocabSize(), self.getMinDF())
+        return model
+
+    def fit_topics(self, counts, fit=clustering.LDA.fit):
+        seen["model"] = (self.getK(), self.getMaxIter())
+        return fit(self, counts, {self.maxIter: 1})
+
+    monkeypatch.setattr(feature.CountVectorizer, "fit", fit_counts)
+    monkeypatch.setattr(clustering.LDA, "fit", fit_topics)
+    rows = catalog.lda_topics(spark, sf).collect()
+    assert {r.k for r in rows} == {100} and seen["model"] == (100, 20)
+    assert 5000 < seen["terms"][0] and seen["terms"][1:] == (2**31 - 1, 1.0)
