@@ -300,7 +300,7 @@ def combine_diversified(spark, sf):
 @query()
 def kmeans_diversify(spark, sf):
     e, s = _vector_scores(spark, sf)
-    return diversify.diversify(s, diversify.kmeans_clusters(e, most=250), _topics(e))
+    return diversify.diversify(s, diversify.kmeans_clusters(e), _topics(e))
 
 
 # Near-duplicates -------------------------------------------------------------------------

@@ -26,8 +26,9 @@ def cluster_count(n: int, share: float) -> int:
     return min(n, max(3, int(n * share)))
 
 
-def kmeans_clusters(embeddings: DataFrame, share: float = 0.5, most: int = 1000, seed: int = 0) -> DataFrame:
-    """doc_id, cluster: k = max(3, share * n), at most the number of rows and ``most``."""
+def kmeans_clusters(embeddings: DataFrame, share: float = 0.5, most: int | None = None, seed: int = 0) -> DataFrame:
+    """doc_id, cluster: k = max(3, share * n), at most the number of rows (and ``most``,
+    if given)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -37,7 +38,8 @@ def kmeans_clusters(embeddings: DataFrame, share: float = 0.5, most: int = 1000,
     rows = embeddings.select("doc_id", array_to_vector(V.doubles(F.col("embedding"))).alias("features"))
     if n == 1:
         return rows.select("doc_id", F.lit(0).alias("cluster"))
-    model = KMeans(k=min(most, cluster_count(n, share)), seed=seed).fit(rows)
+    k = cluster_count(n, share)
+    model = KMeans(k=k if most is None else min(most, k), seed=seed).fit(rows)
     return model.transform(rows).select("doc_id", F.col("prediction").alias("cluster"))
 
 

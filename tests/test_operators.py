@@ -272,3 +272,22 @@ def test_registered_topics_are_whole(spark, sf, monkeypatch):
     rows = catalog.lda_topics(spark, sf).collect()
     assert {r.k for r in rows} == {100} and seen["model"] == (100, 20)
     assert 5000 < seen["terms"][0] and seen["terms"][1:] == (2**31 - 1, 1.0)
+
+
+def test_registered_clusters_are_half_the_rows(spark, tmp_path, monkeypatch):
+    from pyspark.ml import clustering
+
+    from brambling import catalog
+
+    seen = []
+
+    def fit(self, rows, fit=clustering.KMeans.fit):
+        seen.append(self.getK())
+        return fit(self, rows, {self.k: 3, self.maxIter: 1})
+
+    monkeypatch.setattr(clustering.KMeans, "fit", fit)
+    for n in (600, 2200):
+        rows = spark.range(n).selectExpr("id AS vec_id", "array(float(cos(id)), float(sin(id)), float(id % 7)) AS embedding", "int(id % 2) AS label")
+        rows.write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        assert catalog.kmeans_diversify(spark, f"{tmp_path}/{n}").count() > 0
+    assert seen == [300, 1100]
