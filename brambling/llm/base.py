@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,36 +26,60 @@ def words(data: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only a session without that setting
-    (a test on one machine) gets a temporary folder of its own."""
+    """The folder of ``spark.checkpoint.dir``. Only a local session without that setting
+    (a test) gets a temporary folder of its own; on a cluster its lack is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="brambling-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: The folders of the jobs under way, the innermost last.
+_FOLDERS: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the innermost ``scratch`` folder; ``keep``: in the one around it."""
+    folders = _FOLDERS.get()[: -1 if keep else None]
+    return f"{folders[-1] if folders else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored within goes to a folder that is deleted at the end, but for tables
+    stored with ``keep``. Frames that leave the block must read kept tables only."""
+    folder = shared_path(spark, "scratch")
+    token = _FOLDERS.set((*_FOLDERS.get(), folder))
+    try:
+        yield
+    finally:
+        _FOLDERS.reset(token)
+        _remove(spark, [folder])
+
+
+def stored(df: DataFrame, name: str, path: str | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts the
     lineage, and a lost executor takes nothing with it."""
     spark = df.sparkSession
-    path = path or shared_path(spark, name)
+    path = path or shared_path(spark, name, keep)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, folders) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def delete(spark: SparkSession, *frames: DataFrame) -> None:
     """Remove the files of stored frames that nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for df in frames:
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for folder in folders:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        _remove(spark, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def arrow_limits(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:

@@ -1,32 +1,39 @@
 """MinHash near-duplicates by Order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles, each labelled with its occurrence number.
-For each of ``BANDS`` hash functions the sketch takes the ``SAMPLE`` smallest labelled
-shingles and keeps them in text order; texts that agree on such a tuple are candidates.
-Unlike plain MinHash a tuple is lost when passages change places, so agreement follows
-edit similarity. Candidates are verified by aligning the shingle sequences within the
-band of diagonals that a qualifying pair can't leave:
+A text is its sequence of five-word shingles. Two texts are similar by their distinct
+shingles, in the order of their first places:
 
     similarity = aligned / (shingles of a + shingles of b - aligned) >= 0.8
 
-over distinct shingles at their first places; it is at most the Jaccard similarity, and
-equal to it for texts edited in place.
+where ``aligned`` is the longest common subsequence; it is at most the Jaccard similarity
+of the shingle sets, and equal to it for texts edited in place. How often a line repeats
+doesn't count.
 
-Two texts whose labelled shingles have similarity 0.8 agree in one band with a chance of
-0.51, in none of 20 with 6e-7; all pairs that meet in a bucket are compared or already in
+For candidates each shingle is labelled with its occurrence number. For each of ``BANDS``
+hash functions the sketch takes the ``SAMPLE`` smallest labelled shingles and keeps them
+in text order; texts that agree on such a tuple are candidates. Unlike plain MinHash a
+tuple is lost when passages change places, so agreement follows edit similarity. Texts in
+which any shingle repeats have a second set of tuples, over the shingles labelled as first
+occurrences alone, which are what the similarity is about: these meet each other and the
+tuples of texts without repeats.
+
+Two texts of similarity 0.8 agree in one band with a chance of 0.51, in none of 20 with
+6e-7, whatever repeats in them. All pairs that meet in a bucket are compared or already in
 one class. First members are compared with a representative, picked by hash in each
 bucket, in the last round the member in most buckets (an original among its variants).
 What stays separate is finished exactly: buckets of more than one class are dealt into
 blocks by length and class, and each pair of blocks that may hold a link is one matrix
 product of shared shingles, whose pairs of Jaccard similarity 0.8 are aligned. Only links
-leave it. Its work grows with the square of the classes in a bucket.
+leave it. Its work grows with the square of the classes in a bucket. Candidates are
+verified within the band of diagonals that a qualifying pair can't leave.
 
 Exact copies meet first, by a hash of the text: only one of each goes on.
 
 Defined results: a null text is an empty one; texts without words are equal only when
 identical; under five words the whole text is one shingle; rows of one text (repeated
-rows too) share a class; a class id is the smallest doc_id of the class (null ids are
-copies of no one but identical texts); an empty table gives an empty one.
+rows too) share a class; a class id is the smallest doc_id of the class; rows of null ids
+are linked like all others, and a class of such rows alone has a null class id; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -55,8 +62,8 @@ def shingles(data: bytes, hashes: Hashes) -> np.ndarray:
     return grams(ids, min(SHINGLE, len(w))) if w else np.zeros(0, np.uint64)
 
 
-def labelled(s: np.ndarray) -> np.ndarray:
-    """Hashes of (shingle, its occurrence number), in text order."""
+def labelled(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of (shingle, its occurrence number), in text order, and the numbers."""
     order = np.argsort(s, kind="stable")
     t = s[order]
     begins = np.concatenate([[True], t[1:] != t[:-1]])
@@ -64,14 +71,24 @@ def labelled(s: np.ndarray) -> np.ndarray:
     number = np.empty(len(s), np.uint64)
     number[order] = (at - np.maximum.accumulate(np.where(begins, at, 0))).astype(np.uint64)
     h = (s ^ (number * np.uint64(0xA24BAED4963EE407))) * np.uint64(0x9FB21C651E98DF25)
-    return h ^ (h >> np.uint64(32))
+    return h ^ (h >> np.uint64(32)), number
 
 
-def sketch(s: np.ndarray) -> list[int]:
-    """One key for each band; none for a text without shingles."""
+def sketch(s: np.ndarray) -> list[int | None]:
+    """One key for each band, and, where a shingle repeats, one more for each band, of the
+    first occurrences, null where it is the same; none for a text without shingles."""
     if not len(s):
         return []
-    g, k = labelled(s), min(SAMPLE, len(s))
+    g, number = labelled(s)
+    keys = band_keys(g)
+    if not number.any():
+        return keys
+    return keys + [None if a == b else b for a, b in zip(keys, band_keys(g[number == 0]))]
+
+
+def band_keys(g: np.ndarray) -> list[int]:
+    """Of each band the hash of the smallest labelled shingles in text order."""
+    k = min(SAMPLE, len(g))
     keys = np.empty((BANDS, k), np.int64)
     step = max(1, 2_000_000 // len(g))  # bands at a time, for very long texts
     for at in range(0, BANDS, step):
@@ -129,22 +146,29 @@ def sketches(rows: DataFrame) -> DataFrame:
             keys = [sketch(shingles(t, hashes)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
 
-    return rows.withColumn("same", F.unhex(F.md5(F.col("text").cast("binary")))).select("doc_id", "same", "text").mapInArrow(
-        run, "doc_id long, same binary, keys array<long>"
-    )
+    return hashed(rows).mapInArrow(run, "doc_id long, same binary, keys array<long>")
 
 
-def sequences(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, seq, size) of the candidate documents, stored for all rounds."""
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("same"), "text")
+
+
+def sequences(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(id, seq, size) of the candidate texts (id, own, same), stored for all rounds. Of
+    equal texts those of the smallest doc_id are read."""
 
     def run(batches):
         hashes = Hashes()
         for batch in batches:
             seq = [first_places(shingles(t, hashes)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(seq, pa.binary())], ["id", "seq"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("same"), pa.array(seq, pa.binary())], ["doc_id", "same", "seq"])
 
-    own = base.by_ids(rows, ids, "doc_id", "left_semi").select("doc_id", "text")
-    return own.mapInArrow(run, "id long, seq binary").groupBy("id").agg(F.first("seq").alias("seq")).withColumn("size", F.length("seq"))
+    own = base.by_ids(rows, base.stored(candidates.where("own IS NOT NULL").select("own").distinct(), "own"), "doc_id", "left_semi")
+    if candidates.where("own IS NULL").head(1):
+        own = own.union(rows.where("doc_id IS NULL"))
+    found = hashed(own).mapInArrow(run, "doc_id long, same binary, seq binary").join(candidates, "same").where("doc_id <=> own")
+    found = found.groupBy("same", "id").agg(F.first("seq").alias("seq"))  # dealt by the join already
+    return base.stored(found.select("id", "seq", F.length("seq").alias("size")), "sequences")
 
 
 def verified(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -283,20 +307,37 @@ def arrow_links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id: one row for each row of docs."""
+def grouped(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, same (a hash of the text), class_id, head: one row for each row of docs,
+    stored. The text of a class's smallest doc_id is its head, on the rows of that id."""
     spark = docs.sparkSession
     base.arrow_limits(spark)
-    rows = base.texts(docs, id_col, text_col)
-    all_rows = base.stored(sketches(rows), "sketches")
-    texts = all_rows.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    texts = base.stored(texts, "distinct")
-    entries = texts.where("id IS NOT NULL").select("id", F.posexplode("keys").alias("band", "key"))
+    with base.scratch(spark):
+        rows = base.texts(docs, id_col, text_col)
+        all_rows = base.stored(sketches(rows), "sketches")
+        texts = all_rows.groupBy("same").agg(F.min("doc_id").alias("own"), F.first("keys").alias("keys"))
+        # Ids of texts: doc_ids may be null or stand for several texts.
+        texts = base.stored(texts.withColumn("id", F.monotonically_increasing_id()), "distinct")
+        linked = base.stored(texts.select("id", "own", "same").join(classes_of(rows, texts, threshold), "id"), "linked")
+        first = F.min(F.struct(F.col("own").isNull().alias("nameless"), "own", "id")).alias("first")
+        heads = base.stored(linked.groupBy("comp").agg(first), "heads").select("comp", "first.own", "first.id")
+        linked = linked.join(heads.select("comp", F.col("own").alias("class_id"), F.col("id").alias("head")), "comp").select("id", "class_id", "head")
+        texts = texts.select("id", "own", "same").join(base.stored(linked, "classes"), "id", "left")
+        head = F.coalesce("head", "id") == F.col("id")
+        texts = texts.select("same", "own", F.when(F.col("head").isNull(), F.col("own")).otherwise(F.col("class_id")).alias("class_id"), head.alias("head"))
+        found = all_rows.select("doc_id", "same").join(base.stored(texts, "texts"), "same")
+        return base.stored(found.select("doc_id", "same", "class_id", (F.col("head") & F.col("doc_id").eqNullSafe(F.col("own"))).alias("head")), "near-duplicates", keep=True)
+
+
+def classes_of(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(id, comp) of the distinct texts (id, own, same, keys) with a link."""
+    entries = texts.select("id", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
+    entries = entries.select("id", F.pmod("at", F.lit(BANDS)).alias("band"), "key")
     # Buckets of one text need no look.
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     entries = base.stored(entries.join(shared, "key", "left_semi"), "entries")
     candidates = base.stored(entries.groupBy("id").agg(F.count("*").alias("buckets")), "candidates")
-    seqs = base.stored(sequences(rows, candidates), "sequences")
+    seqs = sequences(rows, base.stored(texts.select("id", "own", "same").join(candidates, "id", "left_semi"), "candidates"))
     edges, classes, tried = None, None, None
     for low, high in (*ROUNDS, (0, BANDS)):
         pairs = star_pairs(entries.where(f"band >= {low} AND band < {high}").select("key", "id"), classes, candidates if high - low == BANDS else None)
@@ -309,25 +350,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
         if classes is None or good.head(1):
             classes = components(edges)
     links = base.stored(finished(entries.select("key", "id"), classes, seqs, threshold), "links")
-    if links.head(1):
-        classes = components(edges.union(links))
-    same = texts.select("same", "id").join(classes, "id", "left").select("same", F.coalesce("comp", "id").alias("class_id"))
-    same = base.stored(same, "classes")
-    return all_rows.select("doc_id", "same").join(same, "same").select("doc_id", "class_id")
+    return components(edges.union(links)) if links.head(1) else classes
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id: one row for each row of docs."""
+    return grouped(docs, threshold, id_col, text_col).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each class the row of its smallest id.
-    Rows of that id and an equal text are kept once; other rows of null ids stay."""
-    found = near_duplicates(docs, threshold, id_col, text_col)
-    found = base.stored(found, "found")
-    dropped = base.stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "dropped")
-    kept = base.by_ids(docs, dropped, id_col, "left_anti")
-    repeated = base.stored(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if not repeated.head(1):
+    """The rows of docs without near-duplicates: of each class one row, of its smallest id."""
+    found = grouped(docs, threshold, id_col, text_col)
+    per_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("head").alias("heads"))
+    per_id = base.stored(per_id.where("n <> heads OR n > 1 OR doc_id IS NULL"), "ids")
+    dropped = base.stored(per_id.where("heads = 0 AND doc_id IS NOT NULL").select("doc_id"), "dropped")
+    unsure = base.stored(per_id.where("heads > 0 AND doc_id IS NOT NULL").select("doc_id"), "unsure")
+    kept, looked = base.by_ids(docs, dropped, id_col, "left_anti"), None
+    if unsure.head(1):
+        looked, kept = base.by_ids(docs, unsure, id_col, "left_semi"), base.by_ids(kept, unsure, id_col, "left_anti")
+    if per_id.where("doc_id IS NULL").head(1):
+        nameless = docs.where(F.col(id_col).isNull())
+        looked, kept = nameless if looked is None else looked.unionByName(nameless), kept.where(F.col(id_col).isNotNull())
+    if looked is None:
         return kept
-    again = base.by_ids(kept, repeated, id_col, "left_semi").withColumn("__same", F.md5(F.col(text_col).cast("binary")))
-    return base.by_ids(kept, repeated, id_col, "left_anti").unionByName(again.dropDuplicates([id_col, "__same"]).drop("__same"))
+    # Ids that are null or repeat don't tell rows apart: their texts do.
+    heads = found.where("head").select(F.col("doc_id").alias("__id"), F.col("same").alias("__head")).distinct()
+    own = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    looked = looked.withColumn("__same", own)
+    looked = looked.join(heads, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__head")), "left_semi")
+    return kept.unionByName(looked.dropDuplicates([id_col, "__same"]).drop("__same"))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -302,11 +302,35 @@ def test_buckets_are_finished_exactly(spark, monkeypatch):
 def test_duplicates_in_odd_tables(spark):
     schema = "doc_id long, text string"
     assert near_duplicates.near_duplicates(spark.createDataFrame([], schema)).count() == 0
-    rows = [(1, "x y z"), (1, "x y z"), (2, None), (3, ""), (None, "x y z"), (None, "lonely"), (4, "long " * 100_000), (5, "long " * 100_000)]
+    rows = [(1, "x y z"), (1, "x y z"), (2, None), (3, ""), (None, "x y z"), (None, "lonely"), (4, "long " * 100_000), (5, "long " * 100_000), (1, "other"), (6, "other"), (1, "third text")]
     docs = spark.createDataFrame(rows, schema)
     got = sorted((str(r.doc_id), str(r.class_id)) for r in near_duplicates.near_duplicates(docs).collect())
-    assert got == sorted([("1", "1"), ("1", "1"), ("2", "2"), ("3", "2"), ("None", "1"), ("None", "None"), ("4", "4"), ("5", "4")])
-    assert sorted(str(r.doc_id) for r in near_duplicates.keep_one(docs).collect()) == ["1", "2", "4", "None", "None"]
+    assert got == sorted([("1", "1"), ("1", "1"), ("2", "2"), ("3", "2"), ("None", "1"), ("None", "None"), ("4", "4"), ("5", "4"), ("1", "1"), ("6", "1"), ("1", "1")])
+    kept = sorted((str(r.doc_id), (r.text or "")[:9]) for r in near_duplicates.keep_one(docs).collect())
+    assert kept == sorted([("1", "x y z"), ("2", ""), ("None", "lonely"), ("4", "long long"), ("1", "other"), ("1", "third tex")])
+
+
+def test_rows_without_ids_are_linked(spark):
+    text = [f"w{i}" for i in range(100)]
+    near = [" ".join([*text[:k], "new", *text[k + 1 :]]) for k in (10, 50, 90)]
+    other = [" ".join([f"v{i}" for i in range(60)] + [x]) for x in "ab"]
+    docs = spark.createDataFrame([(None, near[0]), (7, near[1]), (None, near[2]), (None, other[0]), (None, other[1]), (None, other[1])], "doc_id long, text string")
+    got = [r.class_id for r in near_duplicates.near_duplicates(docs).collect()]
+    assert sorted(map(str, got)) == ["7", "7", "7", "None", "None", "None"]
+    kept = near_duplicates.keep_one(docs).collect()
+    assert len(kept) == 2 and {r.doc_id for r in kept} == {7, None}
+
+
+def test_repeated_lines_in_other_numbers(spark):
+    rnd, rows = random.Random(21), []
+    for g in range(100):
+        own, line = [f"t{g}x{i}" for i in range(60)], [f"l{g}x{i}" for i in range(20)]
+        rows += [(2 * g, " ".join(own + line)), (2 * g + 1, " ".join(own + line * 40))]
+    passage = [f"r{i}" for i in range(100)]  # whole texts repeated, and edited then
+    rows += [(1000 + k, " ".join(edited(passage * (k % 4 + 1), rnd, k % 3))) for k in range(12)]
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * g + 1] == 2 * g for g in range(100))
+    assert got == brute_classes(rows)
 
 
 def test_components_of_chains_and_stars(spark):
