@@ -6,6 +6,7 @@ a letter is a separator. Bytes from 0x80 up always belong to words.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -89,6 +90,18 @@ def arrow_limits(spark: SparkSession, rows: int = 1000, size: str = "16m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def uncollected(batches: Iterator) -> Iterator:
+    """The batches, with Python's search for reference cycles off between the first and the
+    last: there are none in these loops, and each search walks all of a worker's caches."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield from batches
+    finally:
+        if was:
+            gc.enable()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) alone, a null text as an empty one; other columns are left out,
     so that their names can't clash with the operators' own."""

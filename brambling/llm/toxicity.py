@@ -7,14 +7,18 @@ mined from labelled training rows), three families of terms, and patterns over t
 A generative label model takes the voters' pairwise agreements over all documents, one
 aggregation with a bounded result, estimates each accuracy from triplets of voters, finds
 correlated voters by what agreement the accuracies leave over, and lowers their weights.
-Its posteriors are the labels of a linear classifier over the votes, fitted on a bounded
-sample of training rows; a two-parameter logistic curve, fitted on labelled training
-rows, turns its margin into the score.
+Its posteriors are the labels of a linear classifier in two parts. The first sees hashed
+words and word pairs of the text, none of the voters, and is fitted on one half of a
+bounded sample of training rows, so that words that go along with the voters' terms count
+without them; the second adds the votes, fitted on the other half against the first
+part's margin on texts it hasn't seen. A two-parameter logistic curve, fitted on labelled
+training rows of that half, turns the margin into the score.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2. Labels,
 language, source and id are never inputs of a score. Bounds: ``fit_rows`` labelled rows
 for mining and for the curve, ``fit_rows`` training rows for the classifier, taken by the
-smallest hash of their id; ``MINED`` terms.
+smallest hash of their id; ``MINED`` terms, of the ``CANDIDATES`` of largest gain those that
+explain rows without any other term. Rarer ones are seen as words by the classifier.
 
 Defined results: a null or empty text has no terms and gets the score of such texts; equal
 texts get equal scores; labels that are null are ignored, of several labels of one id the
@@ -25,6 +29,7 @@ largest holds; without labels of both classes the curve is left out and the prio
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -34,28 +39,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
+from .decontaminate import Hashes, grams
 
 #: Common English insults.
 SEEDS = (
     "idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "clown", "clowns", "pathetic",
     "worthless", "disgusting", "dumb", "imbecile", "jerk", "creep", "vermin", "filth", "fool", "coward", "bastard",
 )
-PREFIXES = (4, 5, 6)  #: bytes of mined word beginnings
-FIT_ROWS, MINED, PRECISION, GAIN, PRIOR, THRESHOLD, DENSE, CURVE = 20_000, 96, 0.95, 30.0, 0.1, 0.3, 0.004, 10.0
+PREFIXES = (4, 5, 6, 7, 8)  #: bytes of mined word beginnings
+FIT_ROWS, MINED, PRECISION, GAIN, PRIOR, THRESHOLD, DENSE, CURVE = 20_000, 256, 0.95, 30.0, 0.1, 0.3, 0.004, 10.0
+CANDIDATES, ADDED = 2048, 4.0  #: terms of largest gain that are looked at; gain by rows without other terms
+BUCKET_BITS = 13  #: of the hashed words and pairs
+EPOCHS, RATE, RIDGE, STEP_ROWS = 6, 0.5, 1e-4, 256  #: of the classifier's first part
 PATTERNS = ("seeds", "words", "beginnings", "several", "dense", "addressed")
 YOU = {b"you", b"your", b"youre", b"u"}
 
 
 @dataclass(frozen=True)
 class Model:
-    """terms: ('word' or 'begin', bytes). weights: of the votes; the score is the logistic
-    function of slope times (weights . votes + bias) + shift."""
+    """terms: ('word' or 'begin', bytes). words: weights of the buckets. weights: of the
+    votes; the score is the logistic function of slope times (words . text + weights . votes
+    + bias) + shift."""
 
     terms: tuple[tuple[str, bytes], ...]
-    accuracies: np.ndarray | None = None
-    dependence: np.ndarray | None = None
-    weights: np.ndarray | None = None
+    accuracies: np.ndarray
+    dependence: np.ndarray
+    weights: np.ndarray
     bias: float = 0.0
+    words: np.ndarray | None = None
     slope: float = 1.0
     shift: float = 0.0
 
@@ -67,18 +78,22 @@ class Voters:
         self.begin = {n: {t: i for i, (kind, t) in enumerate(terms) if kind == "begin" and len(t) == n} for n in PREFIXES}
         seeds = {s.encode() for s in SEEDS}
         self.seeds = {i for t, i in self.words.items() if t in seeds}
+        self.whole = set(self.words.values())
 
-    def votes(self, data: bytes) -> np.ndarray:
-        """int8: one for each term, then PATTERNS."""
-        text = base.words(data)
+    def hits(self, text: list[bytes]) -> set[int]:
+        """The terms that a text holds."""
         own = set(text)
-        by_word = {self.words[w] for w in self.words.keys() & own}
-        by_begin = set()
+        found = {self.words[w] for w in self.words.keys() & own}
         for n, terms in self.begin.items():
             if terms:
-                by_begin |= {terms[p] for p in terms.keys() & {w[:n] for w in own}}
+                found |= {terms[p] for p in terms.keys() & {w[:n] for w in own}}
+        return found
+
+    def votes(self, text: list[bytes]) -> np.ndarray:
+        """int8: one for each term, then PATTERNS. text: its words."""
         out = np.zeros(self.n + len(PATTERNS), np.int8)
-        hits = by_word | by_begin
+        hits = self.hits(text)
+        by_word, by_begin = hits & self.whole, hits - self.whole
         out[list(hits)] = 1
         none = 0 if hits else -1  # a family abstains on texts with terms of another
         sign = (1 if by_word & self.seeds else none, 1 if by_word - self.seeds else none, 1 if by_begin else none)
@@ -91,6 +106,12 @@ class Voters:
         return out
 
 
+def buckets(text: list[bytes], hashes: Hashes) -> np.ndarray:
+    """The places of a text's words and word pairs among 2 ** BUCKET_BITS."""
+    h = np.fromiter(map(hashes.__getitem__, text), np.uint64, len(text))
+    return np.unique(np.concatenate([h, grams(h, 2)]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -101,11 +122,15 @@ def held_out():
 
 def smallest(rows: DataFrame, n: int, *ties: str) -> DataFrame:
     """At most n rows, by the smallest hash of doc_id. A cut on the hash comes first, as the
-    smallest n of each of many tasks would all go to the driver; it leaves about 2 n rows."""
-    h, total = F.xxhash64("doc_id"), rows.count()
-    if total > 2 * n:
-        rows = rows.where(h < F.lit(int(-(2**63) + 2**64 * (2 * n / total))))
-    return rows.orderBy(h, "doc_id", *ties).limit(n)
+    smallest n of each of many tasks would all go to the driver."""
+    h = F.xxhash64("doc_id")
+    return cut(rows, n).orderBy(h, "doc_id", *ties).limit(n)
+
+
+def cut(rows: DataFrame, n: int) -> DataFrame:
+    """About 1.2 n rows of the smallest hashes of doc_id."""
+    total, most = rows.count(), 1.2 * n + 100
+    return rows.where(F.xxhash64("doc_id") < F.lit(int(-(2**63) + 2**64 * (most / total)))) if total > most else rows
 
 
 def labelled_ids(labels: DataFrame, fit_rows: int, id_col: str, label_col: str) -> DataFrame:
@@ -142,18 +167,65 @@ def mine(rows: DataFrame, labelled: DataFrame, mined: int) -> tuple[list[tuple[s
     # Likelihood ratio against the overall rate: of a million terms none should pass by chance.
     gain = 2 * (F.col("pos") * F.log(F.col("pos") / (n * rate)) + F.col("neg") * F.log((F.col("neg") + 1e-9) / (n * (1 - rate))))
     best = counts.where((F.col("pos") > 0) & (F.col("pos") >= PRECISION * n)).withColumn("gain", gain).where(F.col("gain") >= GAIN)
-    top = best.orderBy(F.desc("gain"), "kind", "term").limit(mined).collect()
-    return [(r.kind, bytes(r.term)) for r in top], pos / total
+    order = (F.desc("gain"), F.desc("kind"), F.desc(F.length("term")), "term")
+    top = [(r.kind, bytes(r.term)) for r in best.orderBy(*order).limit(CANDIDATES).collect()]
+    return chosen(own, top, rate, mined), rate
+
+
+def gain_of(pos: int, neg: int, rate: float) -> float:
+    """As in ``mine``; 0 below the precision asked for."""
+    n = pos + neg
+    if not pos or pos < PRECISION * n:
+        return 0.0
+    return 2 * (pos * math.log(pos / (n * rate)) + (neg * math.log(neg / (n * (1 - rate))) if neg else 0.0))
+
 
+def chosen(sample: DataFrame, terms: list[tuple[str, bytes]], rate: float, mined: int) -> list[tuple[str, bytes]]:
+    """Terms, best first, that pass by the rows without any term before them alone: a word
+    that stands in rows of a known term only, as in copies of one of them, says nothing new."""
+    listed = [("word", s.encode()) for s in SEEDS] + terms
 
-def vote_table(rows: DataFrame, terms) -> DataFrame:
     def run(batches):
-        voters = Voters(terms)
+        voters = Voters(listed)
         for batch in batches:
-            votes = [voters.votes(t).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes, pa.binary())], ["doc_id", "votes"])
+            held = [voters.hits(base.words(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            rows = [(y, bit_set(np.fromiter(h, np.int64, len(h)), len(listed))) for y, h in zip(batch.column("label").to_pylist(), held) if h]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["label", "held"])
+
+    rows = sample.mapInArrow(run, "label int, held binary").collect()
+    if not rows:
+        return []
+    y = np.array([r.label > 0 for r in rows])
+    held = np.unpackbits(np.frombuffer(b"".join(bytes(r.held) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(listed)].astype(bool)
+    open_, kept = ~held[:, : len(SEEDS)].any(axis=1), []
+    for k in range(len(SEEDS), len(listed)):
+        own = held[:, k] & open_
+        if len(kept) < mined and gain_of(int((own & y).sum()), int((own & ~y).sum()), rate) >= ADDED:
+            kept.append(listed[k])
+            open_ &= ~held[:, k]
+    return kept
+
+
+def vote_table(rows: DataFrame, terms, text: bool = False) -> DataFrame:
+    """doc_id, votes of every row; with ``text`` also ``bits``, its buckets as a bit set."""
+    size = 1 << BUCKET_BITS
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, votes binary")
+    def run(batches):
+        voters, hashes = Voters(terms), Hashes()
+        for batch in base.uncollected(batches):
+            texts = [base.words(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            columns = [batch.column("doc_id"), pa.array([voters.votes(t).tobytes() for t in texts], pa.binary())]
+            if text:
+                columns.append(pa.array([bit_set(buckets(t, hashes), size) for t in texts], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "votes", "bits"][: len(columns)])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, votes binary" + (", bits binary" if text else ""))
+
+
+def bit_set(places: np.ndarray, size: int) -> bytes:
+    held = np.zeros(size, bool)
+    held[places] = True
+    return np.packbits(held).tobytes()
 
 
 def moments(votes: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,55 +285,109 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, bias_penalty: f
     return w
 
 
-def unpacked(rows, m: int) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(r.votes) for r in rows), np.int8).reshape(-1, m).astype(np.float64)
+def word_classifier(bits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights of the buckets, bias) of logistic regression to soft labels y, in adaptive
+    steps over the rows in their order. bits: packed, a row for each text."""
+    size = 1 << BUCKET_BITS
+    w, b = np.zeros(size), math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    seen = np.full(size, 1e-8)
+    for _ in range(EPOCHS):
+        for at in range(0, len(y), STEP_ROWS):
+            x = np.unpackbits(bits[at : at + STEP_ROWS], axis=1).astype(np.float32)
+            x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+            off = sigmoid(x @ w.astype(np.float32) + b) - y[at : at + STEP_ROWS]
+            gradient = x.T @ off.astype(np.float32) / len(x) + RIDGE * w
+            seen += gradient**2
+            w -= RATE * gradient / np.sqrt(seen)
+            b -= 0.1 * off.mean()
+    return w, b
+
+
+def word_margins(bits: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(bits))
+    for at in range(0, len(bits), 1024):
+        x = np.unpackbits(bits[at : at + 1024], axis=1).astype(np.float32)
+        out[at : at + 1024] = x @ w.astype(np.float32) / np.sqrt(np.maximum(x.sum(axis=1), 1))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, mined: int = MINED, id_col: str = "doc_id", text_col: str = "text",
-        label_id_col: str = "doc_id", label_col: str = "toxic") -> tuple[Model, DataFrame]:
-    """The model, and the votes of all rows (doc_id, votes)."""
+        label_id_col: str = "doc_id", label_col: str = "toxic") -> Model:
+    spark = docs.sparkSession
+    base.arrow_limits(spark)
+    with base.scratch(spark):
+        rows = base.texts(docs, id_col, text_col)
+        labelled = labelled_ids(labels, fit_rows, label_id_col, label_col)
+        found, prior = mine(rows, labelled, mined)
+        terms = tuple(dict.fromkeys([("word", s.encode()) for s in SEEDS] + found))
+        m, start = len(terms) + len(PATTERNS), math.log(prior / (1 - prior))
+        a, dependence = label_model(*moments(vote_table(rows, terms), m))
+        strength = np.log((1 + a) / (1 - a)) / (1 + dependence)
+
+        def features(wanted: DataFrame, *more: str):
+            own = base.stored(vote_table(wanted, terms, text=True), "features")
+            own = own.join(F.broadcast(labelled), "doc_id") if more else own
+            taken = smallest(own, fit_rows, "votes", "bits").select("doc_id", "votes", "bits", *more).toArrow()
+            votes = np.frombuffer(b"".join(taken["votes"].to_pylist()), np.int8).reshape(-1, m).astype(np.float64)
+            bits = np.frombuffer(b"".join(taken["bits"].to_pylist()), np.uint8).reshape(-1, (1 << BUCKET_BITS) // 8)
+            return taken, votes, bits
+
+        taken, votes, bits = features(cut(rows.where(~held_out()), fit_rows))
+        if not len(votes):
+            return Model(terms, a, dependence, strength, start)
+        posterior = sigmoid(votes @ strength + start)
+        first = np.array([first_half(d) for d in taken["doc_id"].to_pylist()])
+        words, bias = word_classifier(bits[first], posterior[first]) if first.any() else (None, 0.0)
+        rest = ~first if (~first).any() else first
+        ahead = word_margins(bits[rest], words) + bias if words is not None else 0.0
+        w = logistic(votes[rest], posterior[rest], offset=ahead)
+        # Labelled rows that the first part hasn't been fitted on.
+        marked, votes, bits = features(rows.join(F.broadcast(labelled.select("doc_id")), "doc_id", "left_semi").where(~_first()), "label")
+        slope, shift, y = 1.0, 0.0, np.array([float(x > 0) for x in marked["label"].to_pylist()])
+        if len(y) and 0 < y.sum() < len(y):
+            # Kept close to the classifier's own margin, or labels without errors would set the
+            # curve anywhere between the classes.
+            margin = votes @ w[:-1] + w[-1] + bias + (word_margins(bits, words) if words is not None else 0.0)
+            turn, shift = logistic(margin[:, None], y, CURVE, CURVE, margin)
+            slope = 1 + turn
+        return Model(terms, a, dependence, w[:-1], float(w[-1] + bias), words, float(slope), float(shift))
+
+
+def first_half(doc_id: int | None) -> bool:
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % 4 < 2
+
+
+def _first():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 < 2, F.lit(True))
+
+
+class Scorer:
+    def __init__(self, model: Model):
+        self.model, self.voters, self.hashes = model, Voters(model.terms), Hashes()
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        model, margins = self.model, np.empty(len(texts))
+        for i, t in enumerate(texts):
+            text = base.words(t)
+            margin = float(self.voters.votes(text) @ model.weights) + model.bias
+            if model.words is not None and text:
+                own = buckets(text, self.hashes)
+                margin += float(model.words[own].sum()) / math.sqrt(len(own))
+            margins[i] = margin
+        return sigmoid(model.slope * margins + model.shift)
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
     base.arrow_limits(docs.sparkSession)
-    rows = base.texts(docs, id_col, text_col)
-    labelled = labelled_ids(labels, fit_rows, label_id_col, label_col)
-    found, prior = mine(rows, labelled, mined)
-    terms = tuple(dict.fromkeys([("word", s.encode()) for s in SEEDS] + found))
-    m = len(terms) + len(PATTERNS)
-    votes = base.stored(vote_table(rows, terms), "votes")
-    a, dependence = label_model(*moments(votes, m))
-    strength = np.log((1 + a) / (1 - a)) / (1 + dependence)
-    sample = smallest(votes.where(~held_out()), fit_rows, "votes").collect()
-    if not sample:
-        return Model(terms, a, dependence, strength, math.log(prior / (1 - prior))), votes
-    x = unpacked(sample, m)
-    posterior = sigmoid(x @ strength + math.log(prior / (1 - prior)))
-    w = logistic(x, posterior)
-    marked = smallest(base.stored(votes.join(F.broadcast(labelled), "doc_id"), "marked"), fit_rows, "votes").collect()
-    slope, shift = 1.0, 0.0
-    y = np.array([float(r.label > 0) for r in marked])
-    if len(y) and 0 < y.sum() < len(y):
-        # Kept close to the classifier's own margin, or labels without errors would set the
-        # curve anywhere between the classes.
-        margin = unpacked(marked, m) @ w[:-1] + w[-1]
-        turn, shift = logistic(margin[:, None], y, CURVE, CURVE, margin)
-        slope = 1 + turn
-    return Model(terms, a, dependence, w[:-1], float(w[-1]), float(slope), float(shift)), votes
-
-
-def _scores(model: Model, votes: np.ndarray) -> np.ndarray:
-    return sigmoid(model.slope * (votes @ model.weights + model.bias) + model.shift)
-
-
-def score_votes(votes: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    m = len(model.weights)
 
     def run(batches):
-        for batch in batches:
-            v = np.frombuffer(b"".join(batch.column("votes").to_pylist()), np.int8).reshape(-1, m)
-            score = _scores(model, v.astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+        scorer = Scorer(model)
+        for batch in base.uncollected(batches):
+            found = scorer.scores(batch.column("text").cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = votes.select("doc_id", "votes").mapInArrow(run, "doc_id long, score double, predicted int")
+    out = base.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -270,15 +396,14 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
     base.arrow_limits(docs.sparkSession)
 
     def run(batches):
-        voters = Voters(model.terms)
-        for batch in batches:
-            text = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
-            keep = [float(_scores(model, voters.votes(t)[None, :].astype(np.float64))[0]) < threshold for t in text]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        scorer = Scorer(model)
+        for batch in base.uncollected(batches):
+            found = scorer.scores([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()])
+            yield batch.filter(pa.array(found < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
-    model, votes = fit(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"))
-    return score_votes(votes, model)
+    docs = base.table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, base.table(spark, sf_dir, "labels")))

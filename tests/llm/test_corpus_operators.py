@@ -38,6 +38,26 @@ def test_encoder_equals_the_library(spark, sf):
     assert got == library_ids(texts) and [np.frombuffer(b, enc.kind).tolist() + [2] for b in enc.encode(texts)] == got
 
 
+def test_every_letter_is_encoded_like_the_library_does():
+    import sys
+
+    import public_tokenizers
+
+    enc = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isalpha()]
+    texts = [" ".join(f"a{x}b {x}, {x}{x}$%& {x}'s" for x in letters[i : i + 500]) for i in range(0, len(letters), 500)]
+    assert [np.frombuffer(b, enc.kind).tolist() + [2] for b in enc.encode(texts)] == library_ids(texts)
+
+
+def test_random_pieces_are_encoded_like_the_library_does():
+    import public_tokenizers
+
+    enc, rnd = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(31)
+    signs = list(token_store.SIGNS) + ["'s", "'ll", "é", "Ab", "word", "straße", "1", "٣", "½", "ǅ", "–", "’", "…", "日", "\u0301", "😀", "_", " ", "\n"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 9))) for _ in range(20000)]
+    assert [np.frombuffer(b, enc.kind).tolist() + [2] for b in enc.encode(texts)] == library_ids(texts)
+
+
 def test_store_round_trip(spark):
     rows = [(7, "b c"), (3, None), (None, "first"), (5, "x " * 5000), (5, "x " * 5000), (4, "tail"), (9, "same " * 3000 + "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS keys", "1 AS start")
@@ -366,13 +386,42 @@ def test_toxicity_in_odd_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     rows = [(1, "you are such an idiot, clown"), (2, None), (3, ""), (2, None), (None, "a fine day of work")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS votes", "0 AS score")
-    model, votes = toxicity.fit(docs, labels)
-    out = toxicity.score_votes(votes, model).collect()
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model).collect()
     by = {r.doc_id: r.score for r in out}
     assert len(out) == 5 and by[1] > by[2] and by[2] == by[3] and all(0 <= s <= 1 for s in by.values())
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
-    empty, votes = toxicity.fit(docs.limit(0), labels)
-    assert toxicity.score_votes(votes, empty).count() == 0
+    assert toxicity.score(docs, toxicity.fit(docs.limit(0), labels)).count() == 5
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_classifier_sees_words_that_go_along_with_the_terms(spark):
+    """Of two insults that are no voters, the one that stands beside voters counts."""
+    rnd, rows = random.Random(17), []
+    for i in range(6000):
+        words = [f"w{rnd.randrange(900)}" for _ in range(40)]
+        if i % 8 == 0:
+            words[5:7] = [rnd.choice(["idiot", "moron", "scum"]), "zorgling"]
+        elif i % 8 == 1:
+            words[5] = "plimming"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 8 = 0, 1, 0) AS toxic").where("doc_id < 3000")
+    model = toxicity.fit(docs, labels, mined=0)
+    assert model.terms == tuple(("word", s.encode()) for s in toxicity.SEEDS)
+    texts = [" ".join([f"w{k}" for k in range(40)] + [x]) for x in ("zorgling", "plimming", "w77")]
+    bad, other, plain = toxicity.Scorer(model).scores([t.encode() for t in texts])
+    assert bad > 3 * max(other, plain)
+
+
+def test_scores_agree_in_any_batch(spark, sf):
+    docs = base.table(spark, sf, "documents")
+    model = toxicity.fit(docs, base.table(spark, sf, "labels"))
+    one = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    scorer = toxicity.Scorer(model)
+    assert all(scorer.scores([r.text.encode()])[0] == one[r.doc_id] for r in docs.limit(50).collect())
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
+    assert kept == {d for d, s in one.items() if s < toxicity.THRESHOLD}
 
 
 def test_label_model_finds_accuracies():
