@@ -9,7 +9,7 @@ from brambling.llm import base, decontaminate, mixing, near_duplicates, token_st
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model, _ = toxicity.fit(docs, base.table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, base.table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
