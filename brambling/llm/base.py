@@ -114,13 +114,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 #: Up to so many ids (8 bytes each) are broadcast; beyond that both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """``left_semi`` or ``left_anti`` of rows by the one column of ids, which must be stored."""
-    name = ids.columns[0]
-    ids = ids.select(F.col(name).alias("__id"))
+    own = free_name(rows, "__id")
+    ids = ids.select(F.col(ids.columns[0]).alias(own))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return rows.join(ids, F.col(id_col).cast("long") == F.col("__id"), how)
+    return rows.join(ids, F.col(id_col).cast("long") == F.col(own), how)

@@ -22,6 +22,7 @@ one shingle of all its words; repeated rows give repeated results; words are tho
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -130,6 +131,17 @@ class Items:
         return out
 
 
+_LAST: dict[str, Items] = {}
+
+
+def items_of(name: str, sent) -> Items:
+    """The sketches of a block of items, made once in each worker; the last block is kept."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Items(sent.value)
+    return _LAST[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, n_item, n_shared, containment."""
@@ -142,10 +154,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     out = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == block).collect()
-        sent = spark.sparkContext.broadcast([tuple(r) for r in own])
+        sent, name = spark.sparkContext.broadcast([tuple(r) for r in own]), uuid.uuid4().hex
 
-        def run(batches, sent=sent):
-            index, hashes = Items(sent.value), Hashes()
+        def run(batches, sent=sent, name=name):
+            index, hashes = items_of(name, sent), Hashes()
             for batch in batches:
                 found = []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):

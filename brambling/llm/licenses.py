@@ -93,6 +93,59 @@ TEMPLATES = (
         "compile sell or distribute this software",
         ("free and unencumbered software", "released into the public domain"),
     ),
+    Template(
+        "gpl-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+        "license as published by the free software foundation either version 2 of the license or at your option any later "
+        "version this program is distributed in the hope that it will be useful but without any warranty",
+        ("terms of the gnu general public license", "either version 2 of the license"),
+    ),
+    Template(
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+        "license as published by the free software foundation either version 3 of the license or at your option any later "
+        "version this program is distributed in the hope that it will be useful but without any warranty",
+        ("terms of the gnu general public license", "either version 3 of the license"),
+    ),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+        "public license as published by the free software foundation either version 2 1 of the license or at your option "
+        "any later version",
+        ("terms of the gnu lesser general public license", "published by the free software foundation"),
+    ),
+    Template(
+        "agpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general "
+        "public license as published by the free software foundation either version 3 of the license or at your option any "
+        "later version",
+        ("terms of the gnu affero general public license", "published by the free software foundation"),
+    ),
+    Template(
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        ("subject to the terms of the mozilla public license", "if a copy of the mpl was not distributed with this file"),
+    ),
+    Template(
+        "bsl-1",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license the software to use reproduce display distribute execute and "
+        "transmit the software and to prepare derivative works of the software",
+        ("any person or organization obtaining a copy", "use reproduce display distribute execute and transmit the software"),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+        "for any damages arising from the use of this software permission is granted to anyone to use this software for any "
+        "purpose including commercial applications and to alter it and redistribute it freely",
+        ("in no event will the authors be held liable", "alter it and redistribute it freely"),
+    ),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        ("to the extent possible under law", "waived all copyright and related or neighboring rights"),
+    ),
 )
 SCHEMA = "doc_id long, n_words long, label string, base boolean, start long, n_template_words long, score double"
 
@@ -135,12 +188,12 @@ class Index:
             if self.short[k]:
                 found += [(k, s, 1.0) for s in starts if s >= 0 and text[s : s + len(template)] == template]
                 continue
-            last = None
-            for s in sorted(starts):
+            taken: list[int] = []
+            for s in sorted(starts, key=lambda s: (-starts[s], s)):  # a word that stands twice in a template votes for wrong starts too
                 near = sum(v for x in range(s - DRIFT, s + DRIFT + 1) if (v := starts.get(x)))
-                if near >= AGREE * self.anchors[k] and (last is None or s > last + DRIFT) and (hit := self.verify(k, text, s)):
+                if near >= AGREE * self.anchors[k] and all(abs(s - x) > 2 * DRIFT for x in taken) and (hit := self.verify(k, text, s)):
                     found.append((k, *hit))
-                    last = s
+                    taken.append(s)
         return sorted(found, key=lambda x: (x[1], x[0]))
 
     def verify(self, k: int, text: list[bytes], start: int) -> tuple[int, float] | None:

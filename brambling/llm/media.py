@@ -2,10 +2,11 @@
 
 ``store_media`` puts each text's UTF-8 bytes, padded with 255 to a positive multiple of
 ``PAD``, into an 8-bit mono WAV file, written by the ``wave`` module as one binary
-column of a Parquet table. ``fingerprints`` reads those stored bytes with the same
+column of a Parquet table. ``store_fingerprints`` reads those stored bytes with the same
 module, cuts them into overlapping frames, takes a short-time Fourier transform and keeps the
 strongest bin of each band as a peak; pairs of peaks up to ``REACH`` frames apart become
-codes (band and bin of both, distance) in an array in time order, each with its frame.
+codes (bins of both, distance) in an array in time order, each with its frame, stored
+beside the digests of the bytes read. ``media_digests`` derives its columns from that table.
 
 Defined results: a null or empty text is padding alone; a frame without any
 spectrum has no peaks; equal texts have equal values in any batch, as magnitudes are
@@ -100,48 +101,52 @@ def store_media(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     return base.stored(base.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", path)
 
 
-def fingerprints(media: DataFrame) -> DataFrame:
-    """doc_id, frames, pairs: the time-coded array of peak pair codes."""
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def store_fingerprints(media: DataFrame, path: str | None = None) -> DataFrame:
+    """One row per stored file, all of it from the bytes read back: the columns of DIGESTS,
+    frames and pairs, the time-coded array of peak pair codes; as a table like the media's."""
     base.arrow_limits(media.sparkSession, rows=500)
+    fields = [f.split() for f in DIGESTS.split(", ")]
+    kinds = [pa.string() if t == "string" else pa.int64() for _, t in fields] + [pa.int64()]
 
     def run(batches):
         for batch in batches:
-            out, counts = [], []
-            for m in batch.column("media").to_pylist():
+            rows, frames, codes = [], [], []
+            for d, n, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
                 payload = from_wav(m)
                 frame, code = pairs(peaks(payload))
-                counts.append(len(payload) // HOP - 1)
-                out.append([{"frame": f, "code": c} for f, c in zip(frame.tolist(), code.tolist())])
-            kind = pa.list_(pa.struct([("frame", pa.int32()), ("code", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, kind)], ["doc_id", "frames", "pairs"])
+                frames.append(frame)
+                codes.append(code)
+                rows.append((d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), len(payload) // HOP - 1))
+            ends = np.cumsum([0, *map(len, frames)]).astype(np.int32)
+            flat = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in (frames, codes)]
+            listed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in flat], ["frame", "code"]))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, listed], [*(n for n, _ in fields), "frames", "pairs"])
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id long, frames long, pairs {PAIRS}")
+    found = media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{DIGESTS}, frames long, pairs {PAIRS}")
+    return base.stored(found, "fingerprints", path)
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """One row per stored file, all of it from the bytes read back; ``feature`` is the
-    number of pairs and the SHA-256 of the (frame, code) array as little-endian 32-bit
-    integers."""
-    base.arrow_limits(media.sparkSession, rows=500)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def media_digests(prints: DataFrame) -> DataFrame:
+    """The columns of DIGESTS and ``feature``: the number of stored pairs and the SHA-256 of
+    the (frame, code) array as little-endian 32-bit integers."""
+    base.arrow_limits(prints.sparkSession, rows=500)
+    names = [f.split()[0] for f in DIGESTS.split(", ")]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for d, n, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-                payload = from_wav(m)
-                frame, code = pairs(peaks(payload))
-                codes = np.column_stack([frame, code]).astype("<i4").tobytes()
-                rows.append((
-                    d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-                    len(m), hashlib.sha256(m).hexdigest(), f"{len(frame)}:{hashlib.sha256(codes).hexdigest()}",
-                ))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
+            stored = batch.column("pairs")
+            ends = np.cumsum([0, *stored.value_lengths().to_pylist()])
+            flat = stored.flatten()
+            codes = np.column_stack([flat.field(c).to_numpy() for c in ("frame", "code")]).astype("<i4")
+            features = [f"{j - i}:{hashlib.sha256(codes[i:j].tobytes()).hexdigest()}" for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(features, pa.string())], [*names, "feature"])
 
-    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in zip(names, kinds))
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return prints.select(*names, "pairs").mapInArrow(run, f"{DIGESTS}, feature string")
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
-    return media_digests(store_media(base.table(spark, sf_dir, "documents")))
+    return media_digests(store_fingerprints(store_media(base.table(spark, sf_dir, "documents"))))

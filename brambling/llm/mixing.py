@@ -8,7 +8,9 @@ Documents are exploded by their counts and dealt into a global order by a second
 
 Defined results: a null source counts as the source ''; a null id hashes like the text
 'null'; repeated rows are repeated equally; an empty table gives an empty one; a source
-of weight 0 goes; any rate is drawn, as one row of a source may stand for many. The columns ``copy_no`` and ``shuffle_key`` replace any of those names.
+of weight 0 goes; any rate is drawn, as one row of a source
+may stand for many. The columns ``copy_no`` and ``shuffle_key`` replace any of those names;
+all other columns stay, whatever their names.
 The hash decides the partition directly, so no sampling pass and no hot partition: a hot
 source is spread like all others.
 """
@@ -91,15 +93,17 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, defaul
     ``shuffle_key`` (ties: by id and copy). ``epochs``: rows of the mix over rows of docs."""
     spark = docs.sparkSession
     own = [c for c in docs.columns if c.lower() not in ("copy_no", "shuffle_key")]
-    rates = source_rates(docs, weights or {}, default_weight, epochs, source_col)
-    rates = base.stored(rates.select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("cdf").alias("__cdf")), "rates")
-    sources, chances = rates.agg(F.count("*"), F.sum(F.size("__cdf"))).first()
+    source, first, cdf, u, count = (base.free_name(docs, c) for c in ("__source", "__first", "__cdf", "__u", "__count"))
+    with base.scratch(spark):
+        rates = source_rates(docs, weights or {}, default_weight, epochs, source_col)
+        rates = base.stored(rates.select(F.col("source").alias(source), F.col("first").alias(first), F.col("cdf").alias(cdf)), "rates", keep=True)
+    sources, chances = rates.agg(F.count("*"), F.sum(F.size(cdf))).first()
     if sources <= BROADCAST_SOURCES and (chances or 0) <= BROADCAST_CHANCES:
         rates = F.broadcast(rates)
-    keyed = docs.select(*own).withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    joined = keyed.join(rates, "__source").withColumn("__u", uniform(F.lit(seed), F.col(id_col)))
-    counted = joined.withColumn("__count", F.col("__first") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).where("__count > 0")
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count"))))
+    keyed = docs.select(*own).withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    joined = keyed.join(rates, source).withColumn(u, uniform(F.lit(seed), F.col(id_col)))
+    counted = joined.withColumn(count, F.col(first) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(count) > 0)
+    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(count))))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit(f"{seed}|order"), F.col(id_col), F.col("copy_no"))).select(*own, "copy_no", "shuffle_key")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.floor(F.col("shuffle_key").cast("double") / F.lit(float(2**BITS)) * n).cast("int")

@@ -374,11 +374,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     if looked is None:
         return kept
     # Ids that are null or repeat don't tell rows apart: their texts do.
-    heads = found.where("head").select(F.col("doc_id").alias("__id"), F.col("same").alias("__head")).distinct()
+    id_, same, head = (base.free_name(docs, c) for c in ("__id", "__same", "__head"))
+    heads = found.where("head").select(F.col("doc_id").alias(id_), F.col("same").alias(head)).distinct()
     own = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    looked = looked.withColumn("__same", own)
-    looked = looked.join(heads, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__head")), "left_semi")
-    return kept.unionByName(looked.dropDuplicates([id_col, "__same"]).drop("__same"))
+    looked = looked.withColumn(same, own)
+    looked = looked.join(heads, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(same) == F.col(head)), "left_semi")
+    return kept.unionByName(looked.dropDuplicates([id_col, same]).drop(same))
 
 
 def op6_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -145,6 +145,13 @@ def test_mix_rates_and_odd_sources(spark):
     assert mixing.poisson_mix(docs, {"s": 0.0}).where("source = 's'").count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.range(50).selectExpr("id AS doc_id", "'s' AS source", "id AS __count", "id + 1 AS __SOURCE", "id + 2 AS __cdf", "id + 3 AS __u", "id + 4 AS __first")
+    out = mixing.poisson_mix(docs, epochs=2.0)
+    assert out.columns == [*docs.columns, "copy_no", "shuffle_key"]
+    assert all(r[2:7] == (r[0], r[0] + 1, r[0] + 2, r[0] + 3, r[0] + 4) for r in out.collect())
+
+
 def test_counts_are_poisson(spark):
     out = mixing.poisson_mix(spark.range(20000).selectExpr("id AS doc_id", "'s' AS source"), epochs=1.5).groupBy("doc_id").count()
     counts = np.bincount([r[1] for r in out.collect()], minlength=8)
@@ -196,6 +203,24 @@ def test_tree_learns_templates(spark):
     assert {r.template.split("/")[1] for r in out} == {"bad", "good"}
 
 
+def test_tree_ends_where_the_longest_path_does(spark, tmp_path, duck):
+    import duckdb
+
+    rows = [(i, f"http://s.com/a/b/c/d/e/{'bad' if i % 2 else 'good'}/g/h/p{i}.html") for i in range(300)]
+    rows += [(1000 + i, f"http://t.org/{'/'.join('k' * (i % 12 + 1))}") for i in range(60)] + [(2000, "http://s.com/a//"), (2001, None), (2002, "http://s.com")]
+    rules = (urls.UrlRule("block", "s.com/a/b/c/d/e/bad/g/h/p1"), urls.UrlRule("allow", "s.com/a/b/c/d/e/good/g/h/p1"), urls.UrlRule("allow", "s.com/a/b/c/d/e/good/g/h/p2"))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = {r.page_id: r for r in urls.filter_urls(pages, rules).collect()}
+    assert all(out[i].verdict == ("block" if i % 2 else "allow") for i in range(300))
+    assert all(out[i].template.split("/")[6] == ("bad" if i % 2 else "good") for i in range(300))
+    con = duckdb.connect()
+    pages.write.parquet(f"{tmp_path}/pages")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    columns = "page_id, host, path, rule, verdict, template"
+    want = con.execute(f"SELECT {columns} FROM ({registry.ORACLE['op5_url_filter']}) q").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in urls.filter_urls(pages).select(*columns.split(", ")).collect())
+
+
 # near-duplicates
 def test_similarity_against_plain_alignment():
     rnd = random.Random(3)
@@ -448,12 +473,19 @@ def test_rotation(spark):
     assert chat.rotate(turns.limit(0)).count() == 0
 
 
-def test_long_conversations_come_in_parts(spark):
-    turns = spark.range(1000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'a', 'b') AS role", "concat('t', id) AS text")
-    out = chat.rotate(turns).where("speaker = 'a'").orderBy("part").collect()
-    assert len(out) == 16 and sum(r.n_turns for r in out) == 1000
-    whole = "".join(r.text for r in out)
-    assert [t.split("\n")[1].split("<")[0] for t in whole.split("<|end|>\n")[:-1]] == [f"t{i}" for i in range(1000)]
+def test_long_conversations_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_PARTS", 3)
+    turns = spark.range(1000).selectExpr("if(id < 900, 7L, null) AS conv_id", "id AS turn", "concat('r', id % 3) AS role", "if(id = 5, '<|end|> <|user:r1|>', repeat('t', int(id % 17))) AS text")
+    rows = chat.rotate(turns).orderBy("part").collect()
+    whole = {r.speaker: r.text for r in chat.rotate(turns, 1000).where("conv_id = 7").collect()}
+    marks = {r.speaker: r.mask for r in chat.rotate(turns, 1000).where("conv_id = 7").collect()}
+    for speaker in ("r0", "r1", "r2"):
+        out = [r for r in rows if r.speaker == speaker and r.conv_id == 7]
+        assert len(out) == 15 and sum(r.n_turns for r in out) == 900
+        assert "".join(r.text for r in out) == whole[speaker]
+        assert all(whole[speaker][r.part_start :].startswith(r.text) for r in out) and out[0].part_start == 0
+        assert [(m.start + r.part_start, m.end + r.part_start) for r in out for m in r.mask] == [(m.start, m.end) for m in marks[speaker]]
+    assert {(r.part, r.part_start > 0) for r in rows if r.conv_id is None} == {(0, False), (1, True)}
 
 
 # benchmark

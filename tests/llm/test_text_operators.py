@@ -68,6 +68,17 @@ def test_long_template_with_edits(spark):
     assert [(r.doc_id, r.label) for r in found] == [(1, "mit")] and found[0].start == 9 and found[0].score > 0.9
 
 
+@pytest.mark.parametrize("k", [k for k, t in enumerate(licenses.TEMPLATES) if t.keys])
+def test_every_long_template_is_found_by_itself(k):
+    template, index = licenses.TEMPLATES[k], licenses.Index(licenses.TEMPLATES)
+    text = [b"before"] * 7 + index.words[k] + [b"after"] * 30
+    assert (k, 7, 1.0) in index.places(text)
+    assert all(licenses.TEMPLATES[j].label.startswith(template.label.split("-")[0]) for j, _, _ in index.places(text) if not index.short[j])
+    mandatory = {w for p in template.keys for w in base.words(p.encode())}
+    edited = [w for i, w in enumerate(text) if i % 12 != 11 or w in mandatory]
+    assert any(j == k and score > 0.7 for j, _, score in index.places(edited))
+
+
 @pytest.mark.parametrize("size", [0, 1, 575, 576, 577, 5000])
 def test_media_round_trip(size):
     data = np.random.default_rng(size).integers(0, 255, size, dtype=np.uint8).tobytes()
@@ -83,17 +94,59 @@ def test_tone_has_its_peak():
     assert set(media.peaks(tone)[:, 1].tolist()) == {48}
 
 
+def brute_pairs(payload):
+    """Peaks and pairs by the definition of the Fourier transform, one frame and bin at a time."""
+    found = []
+    for at in range(0, len(payload) - 384 + 1, 192):
+        x = [b for b in payload[at : at + 384]]
+        mean = sum(x) / 384
+        x = np.array([(v - mean) * (0.5 - 0.5 * np.cos(2 * np.pi * i / 383)) for i, v in enumerate(x)])
+        turn = 2 * np.pi * np.arange(384) / 384
+        size = [round(float(np.hypot((x * np.cos(k * turn)).sum(), (x * np.sin(k * turn)).sum())), 2) for k in range(193)]
+        bands = []
+        for low, high in ((1, 32), (32, 96), (96, 193)):
+            best = max(range(low, high), key=lambda k: (size[k], -k))
+            bands.append(best if size[best] > 0 else 0)
+        found.append(bands)
+    out = []
+    for i, one in enumerate(found):
+        for gap in (1, 2):
+            if i + gap < len(found):
+                out += [(i, (a << 12) | (b << 2) | gap) for a in one for b in found[i + gap] if a and b]
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    for t in ("The quick brown fox, " * 60, "aaaa" * 300, "", "é日本 mixed 123 " * 50):
+        payload = media.pad(t.encode())
+        frame, code = media.pairs(media.peaks(payload))
+        assert list(zip(frame.tolist(), code.tolist())) == brute_pairs(payload)
+
+
+def test_media_bytes_equal_sql(spark, duck, sf):
+    prints = media.store_fingerprints(media.store_media(base.table(spark, sf, "documents")))
+    got = sorted(tuple(r)[:4] for r in media.media_digests(prints).collect())
+    want = duck.execute("""
+        WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        n AS (SELECT doc_id, b, octet_length(b) AS n, greatest(1, (octet_length(b) + 575) // 576) * 576 AS size FROM t)
+        SELECT doc_id, n, size, sha256(b || unhex(repeat('FF', (size - n)::INTEGER))) FROM n ORDER BY doc_id""").fetchall()
+    assert got == want
+
+
 def test_media_digests(spark):
     docs = spark.createDataFrame([(1, "é" * 400), (2, "é" * 400), (3, None), (None, "x")], "doc_id long, text string")
-    rows = media.media_digests(media.store_media(docs)).collect()
+    prints = media.store_fingerprints(media.store_media(docs))
+    rows = media.media_digests(prints).collect()
     by = {r.doc_id: r for r in rows}
     payload = media.pad(("é" * 400).encode())
     assert by[1].payload_sha256 == hashlib.sha256(payload).hexdigest() and by[1].tail_crc32 == zlib.crc32(payload[-32:])
     assert tuple(by[1])[1:] == tuple(by[2])[1:] and by[3].n_bytes == 0 and by[3].payload_bytes == 576 and by[None].n_bytes == 1
-    assert media.fingerprints(media.store_media(docs)).count() == 4
+    stored = {r.doc_id: [tuple(p) for p in r.pairs] for r in prints.collect()}
+    assert stored[1] == stored[2] == brute_pairs(payload) and len(stored[1]) > 0 and stored[1][0][0] == 0
+    assert by[1].feature == f"{len(stored[1])}:{hashlib.sha256(np.array(stored[1], '<i4').tobytes()).hexdigest()}"
 
 
-@pytest.mark.parametrize("run", [licenses.license_labels, secrets.secret_digests, lambda d: media.media_digests(media.store_media(d))])
+@pytest.mark.parametrize("run", [licenses.license_labels, secrets.secret_digests, lambda d: media.media_digests(media.store_fingerprints(media.store_media(d)))])
 def test_odd_tables(spark, run):
     schema = "doc_id long, text string, labels string, spans int, media binary"
     assert run(spark.createDataFrame([], schema)).count() == 0
@@ -106,3 +159,32 @@ def test_words_are_the_stated_ones():
     for t in ("Ab-c9_d É\u00a0x", "", "--", "日本 a.b"):
         lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
         assert base.words(t.encode()) == [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)]
+
+
+def test_base_licences_equal_sql(spark, duck, sf):
+    got = sorted(tuple(r)[:6] for r in licenses.license_labels(base.table(spark, sf, "documents")).collect())
+    phrases = "VALUES ('mit', ['under', 'the', 'mit', 'license']), ('apache-2', ['apache', 'license', 'version', '2']), ('cc-by-nc', ['cc', 'by', 'nc'])"
+    want = duck.execute(rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT * FROM ({phrases}) p(label, q)),
+        h AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(q)] = q)) AS place FROM d, p)
+        SELECT doc_id, any_value(len(w)), count(place), min(place), max(place), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '')
+        FROM d LEFT JOIN h USING (doc_id) GROUP BY doc_id ORDER BY doc_id""").fetchall()
+    assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_base_secrets_equal_sql(spark):
+    import duckdb
+
+    sf, duck = "/root/testdata/sf0.01", duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rows = secrets.secret_digests(base.table(spark, sf, "documents")).collect()
+    got = sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in rows)
+    assign = r"""(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    want = duck.execute(rf"""
+        SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{assign}', 1), lambda x: length(x) >= 6)),
+          len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)),
+          len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) FROM documents ORDER BY doc_id""").fetchall()
+    assert got == want and sum(r[1] + r[2] + r[3] for r in got) > 0
+    texts = {r.doc_id: r.text or "" for r in base.table(spark, sf, "documents").collect()}
+    assert all(r.base_sha256 == hashlib.sha256(secrets.joined(brute_spans(texts[r.doc_id])).encode()).hexdigest() for r in rows)
