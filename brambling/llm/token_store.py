@@ -44,6 +44,8 @@ CACHE, SEEN = 1_200_000, 200_000
 #: White space besides blank and newline; in texts with any a slower look decides.
 RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD = re.compile(r"\s\s|^\s|\s\Z")
+#: Visible ASCII characters besides letters and digits.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: What the byte-level pre-tokenizer's pattern comes to on visible ASCII.
 ASCII_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+")
 
@@ -66,32 +68,39 @@ def _byte_chars() -> dict[int, int]:
 BYTE_CHARS = _byte_chars()
 
 
+class Shown(dict):
+    """Characters to those that stand for their bytes."""
+
+    def __missing__(self, char: str) -> str:
+        shown = self[char] = char.encode().decode("latin-1").translate(BYTE_CHARS)
+        return shown
+
+
 class Pieces(dict):
     """Ids, as bytes, of texts between single blanks and newlines, found when first asked for."""
 
     def __init__(self, tokenizer, code: str, direct: bool):
         super().__init__()
         self.tokenizer, self.code, self.direct = tokenizer, code, direct
-        self.tokenize = tokenizer.model.tokenize  # each look at .model makes an object
+        self.tokenize, self.shown = tokenizer.model.tokenize, Shown()  # each look at .model makes an object
 
     def word(self, part: str) -> bytes:
         """Ids of what the pre-tokenizer leaves whole, from the model alone."""
-        shown = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
+        shown = part.replace(" ", "\u0120") if part.isascii() else "".join(map(self.shown.__getitem__, part))
         return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
 
     def library(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        head = piece.rstrip(SIGNS)
         if not self.direct or not piece:
             ids = self.library(piece)
-        elif piece.isalpha() or piece[0] == " " and piece[1:].isalpha():
-            ids = self.word(piece)
+        elif head.isalpha() or head[:1] == " " and head[1:].isalpha():  # signs after letters are a piece of their own
+            ids = self.word(piece) if len(head) == len(piece) else self[head] + self[piece[len(head) :]]
         elif piece.isascii() and piece.isprintable():
             parts = ASCII_PARTS.findall(piece)
             ids = self.word(piece) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
-        elif piece[-1] in ",." and piece[:-1].lstrip(" ").isalpha():  # a piece of its own after a letter
-            ids = self[piece[:-1]] + self[piece[-1]]
         else:
             ids = self.library(piece)
         self[piece] = ids
@@ -228,7 +237,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_
     def run(batches):
         enc, seen = encoder(path), set()
         last = np.array([end_id], enc.kind).tobytes()
-        for batch in batches:
+        for batch in base.uncollected(batches):
             streams = [b + last for b in enc.encode(batch.column(1).to_pylist())]
             ends = np.cumsum([len(s) // enc.kind.itemsize for s in streams], dtype=np.int64)
             joined = b"".join(streams)
