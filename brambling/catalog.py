@@ -12,7 +12,8 @@ from brambling.functions import urls as U
 from brambling.functions import vectors as V
 from brambling.operators import cards, crawl, diversify, html, index, rank, simhash, stores
 from brambling.plans.ingest import decided_pages, language_by_words
-from brambling.plans.search import Engine
+from brambling.plans.search import Engine, SearchIndex, build_index
+from brambling.session import exists, shared_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -49,7 +50,7 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 # SQL pieces -----------------------------------------------------------------------------
 _STOP = ", ".join(f"'{w}'" for w in config.STOP_WORDS)
-_WORD, _PHONE = T.WORD, r"\+?[0-9][0-9 -]{8,14}[0-9]"
+_WORD, _PHONE = r"[\p{L}\p{M}\p{N}]+", r"\+?[0-9][0-9 -]{8,14}[0-9]"
 _CLASS = r"""[!"#$%&''()*+,\-./:;<=>?@\[\]^_`{|}~–\s]+"""
 
 
@@ -199,8 +200,31 @@ def lda_topics(spark, sf):
 
 
 # Search ----------------------------------------------------------------------------------
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _engine(spark: SparkSession, sf: str) -> Engine:
+    """A search over the stored index of the documents, built when first asked for."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES or not exists(spark, f"{_INDEXES[key]}/stats"):
+        _INDEXES[key] = shared_path(spark, "index")
+        build_index(_read(spark, sf, "documents"), _INDEXES[key])
+    return Engine(stored=SearchIndex.open(spark, _INDEXES[key]))
+
+
+@query(f"""WITH {_POST}, {_slots('dv', 'post', 'doc_id', 'tf')} SELECT 'postings' AS name, count(*) AS n FROM post UNION ALL SELECT 'terms', count(*) FROM dfq UNION ALL SELECT 'lengths', sum(dl)::BIGINT FROM dl
+UNION ALL SELECT 'embeddings', count(DISTINCT doc_id) FROM dv""")
+def index_build(spark, sf):
+    """A new index, built whole each time."""
+    found = build_index(_read(spark, sf, "documents"), shared_path(spark, "index"))
+    counts = {name: found.tables[name].agg(F.count("*").alias("n")) for name in ("postings", "terms", "embeddings")}
+    counts["lengths"] = found.tables["lengths"].agg(F.sum("dl").alias("n"))
+    parts = [df.select(F.lit(name).alias("name"), "n") for name, df in counts.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 def _lexical(spark, sf, queries):
-    engine = Engine(_corpus(spark, sf))
+    engine = _engine(spark, sf)
     return engine.lexical(rank.query_terms(queries, lambda c: rank.expand(T.analyse(c))))
 
 
@@ -226,18 +250,17 @@ def minmax_normalize(spark, sf):
 
 @query(f"WITH {_FIRST} {_top('f1')}")
 def fused_lexical(spark, sf):
-    return rank.ranked(Engine(_corpus(spark, sf)).first_pass(_searches(spark))[1])
+    return rank.ranked(_engine(spark, sf).first_pass(_searches(spark))[1])
 
 
 @query(f"WITH {_PRF} SELECT query_id, term, freq FROM fb")
 def prf_terms(spark, sf):
-    engine = Engine(_corpus(spark, sf))
-    return rank.feedback_terms(engine.first_pass(_searches(spark))[1], engine.corpus)
+    return _engine(spark, sf).feedback(_searches(spark))
 
 
 @query(f"WITH {_SECOND} {_top('f2')}")
 def two_pass_search(spark, sf):
-    return Engine(_corpus(spark, sf)).search(_searches(spark))
+    return _engine(spark, sf).search(_searches(spark))
 
 
 _VECTORS = """qv AS (SELECT 'label' || label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label),
@@ -515,7 +538,7 @@ def result_cards(spark, sf):
     keywords = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(", more words"))).otherwise("")
     meta = docs.select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("url"), F.col("lang").alias("title"), F.col("text").alias("description"), keywords.alias("keywords"))
     results = rank.ranked(_lexical(spark, sf, _searches(spark))[1], 10)
-    return cards.result_cards(results, meta, _corpus(spark, sf))
+    return cards.result_cards(results, meta, _engine(spark, sf).stored.documents(results))
 
 
 @query("SELECT url, min(page_id) IS NOT NULL AS there FROM pages GROUP BY url")

@@ -46,7 +46,22 @@ SITE_SECTIONS = (("div", "id", "catlinks"), ("div", "class", "printfooter"), ("o
 TOPIC_TERMS = ("tübingen", "tuebingen")
 ENTITY_PHRASES = ("max planck institute",)
 BLOCK_SEPARATOR = "\n;\n"
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+# Common English words without a topic.
+STOP_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "also", "although", "am", "among", "an", "and", "any", "are",
+    "as", "at", "be", "became", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can",
+    "cannot", "could", "did", "do", "does", "doing", "done", "down", "due", "during", "each", "either", "else", "even",
+    "ever", "every", "few", "for", "from", "further", "had", "has", "have", "having", "he", "hence", "her", "here", "hers",
+    "herself", "him", "himself", "his", "how", "however", "i", "if", "in", "into", "is", "it", "its", "itself", "just",
+    "less", "many", "may", "me", "might", "mine", "more", "most", "much", "must", "my", "myself", "neither", "never", "no",
+    "nor", "not", "now", "of", "off", "often", "on", "once", "one", "only", "onto", "or", "other", "others", "our", "ours",
+    "ourselves", "out", "over", "own", "per", "perhaps", "quite", "rather", "really", "same", "several", "she", "should",
+    "since", "so", "some", "still", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there",
+    "these", "they", "this", "those", "though", "through", "thus", "to", "together", "too", "toward", "under", "until",
+    "up", "upon", "us", "very", "via", "was", "we", "well", "were", "what", "when", "where", "whether", "which", "while",
+    "who", "whole", "whom", "whose", "why", "will", "with", "within", "without", "would", "yet", "you", "your", "yours",
+    "yourself", "yourselves",
+)
 
 
 @dataclass(frozen=True)
@@ -58,7 +73,6 @@ class SearchSettings:
     feedback_random: int = 0  #: extra documents by seeded hash; 3 as in an unseeded pick
     feedback_terms: int = 25
     results: int = 100
-    diversity: float = 0.5
     cluster_weight: float = 0.6
     topic_weight: float = 0.4
     glue_first_pass: bool = False  #: join the first pass's terms without blanks
@@ -75,11 +89,8 @@ class DuplicateSettings:
 @dataclass(frozen=True)
 class CrawlSettings:
     cache_limit: int = 20
-    concurrency: int = 8
     bucket_capacity: int = 10
     bucket_refill_s: float = 1.0
-    timeout_s: float = 4.0
-    retries: int = 2
     german_below: float = 0.8  #: German pages stay below this detector score
     description_chars: int = 250
     keyword_chars: int = 10

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from brambling import config
 
-#: A word of the default tokenizer; works alike in Java's and RE2's regexes.
-WORD = r"[a-zäöüßéèêçñáíóú]+"
+#: A word of the default tokenizer: letters of any script with their marks, and numbers.
+WORD = r"[\p{L}\p{M}\p{N}]+"
 PHONE = r"\+?[0-9][0-9 -]{8,14}[0-9]"
 #: ASCII punctuation but the backslash, the en dash and white space.
 PUNCTUATION = r"""(?U)[!"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~–\s]+"""
@@ -79,7 +79,7 @@ def analyse_replacing(c: Column, stop_words: Iterable[str] = config.STOP_WORDS,
     for phrase in phrases:
         tied = phrase.lower().replace(" ", "\u0001")
         rest = F.regexp_replace(rest, r"(?iU)\b" + phrase.replace(" ", r"\s+") + r"\b", tied)
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(rest, F.lit(""))), F.lit(r"[a-zäöüßéèêçñáíóú\x01]+"), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(rest, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}\x01]+"), F.lit(0))
     return F.concat(phones(c), F.transform(allowed(tokens, stop_words), lambda t: F.translate(t, "\u0001", " ")))
 
 

@@ -22,10 +22,10 @@ def topic_gate(text: Column, terms=config.TOPIC_TERMS) -> Column:
 
 
 def decide(pages: DataFrame, terms=config.TOPIC_TERMS) -> DataFrame:
-    """pages: url, text (joined blocks), full_text, lang, lang_score, seen, has_body,
+    """pages: url, no_html, text (joined blocks), full_text, lang, lang_score, seen, has_body,
     duplicate -> decision, by the first gate that stops the page."""
     gates = [
-        (F.coalesce(F.col("text"), F.lit("")).isNull(), "empty"),
+        (F.col("no_html"), "empty"),
         (F.col("seen"), "visited"),
         (~F.col("has_body"), "no_body"),
         (~language_gate(F.col("lang"), F.col("lang_score"), F.col("text")), "language"),

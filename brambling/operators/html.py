@@ -1,13 +1,14 @@
 """HTML extraction: one pass of the standard library's parser over each page.
 
 The document tree lives only inside a Python worker; text blocks, links and meta data
-leave it as arrays, in document order.
+leave it as arrays, in document order. Pages of any depth, broken markup and broken urls
+give rows like all others; a null page has no body.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCHEMA = (
-    "url string, has_body boolean, title string, description string, keywords string, blocks array<string>, full_text string, "
+    "url string, no_html boolean, has_body boolean, title string, description string, keywords string, blocks array<string>, full_text string, "
     "links array<struct<pos: int, href: string, hreflang: string>>"
 )
 
@@ -46,10 +47,18 @@ class Node:
 
 
 class Text:
-    __slots__ = ("text", "parent")
+    """Text of a node, in the pieces that the parser gives."""
+
+    __slots__ = ("pieces", "parent")
 
     def __init__(self, text: str, parent: Node):
-        self.text, self.parent = text, parent
+        self.pieces, self.parent = [text], parent
+
+    @property
+    def text(self) -> str:
+        if len(self.pieces) > 1:
+            self.pieces = ["".join(self.pieces)]
+        return self.pieces[0]
 
 
 class _Tree(HTMLParser):
@@ -87,7 +96,7 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data):
         if self.at.children and isinstance(self.at.children[-1], Text):
-            self.at.children[-1].text += data
+            self.at.children[-1].pieces.append(data)
         else:
             self.at.children.append(Text(data, self.at))
 
@@ -100,10 +109,17 @@ def parse(html: str) -> Node:
 
 
 def _without(node: Node, tags) -> None:
-    node.children = [x for x in node.children if not (isinstance(x, Node) and x.tag in tags)]
-    for x in node.children:
-        if isinstance(x, Node):
-            _without(x, tags)
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        at.children = [x for x in at.children if not (isinstance(x, Node) and x.tag in tags)]
+        stack += [x for x in at.children if isinstance(x, Node)]
+
+
+def host_of(url: str | None) -> str:
+    """What stands between // and the next /, ? or #; broken urls have one too."""
+    found = re.match(r"(?:[^:/?#]+:)?//([^/?#]*)", url or "")
+    return found[1] if found else ""
 
 
 def _is(node, wanted) -> bool:
@@ -165,30 +181,29 @@ def page_row(url: str, html: str, fallback: tuple[str, ...]) -> tuple:
     head = ("".join(t.text for t in title.walk() if isinstance(t, Text)).strip() if title else "", meta.get("description", ""), meta.get("keywords", ""))
     body = next(iter(root.all("body")), None)
     if body is None:
-        return (url, False, *head, [], "", [])
+        return (url, not html, False, *head, [], "", [])
     _without(body, config.DROPPED_TAGS)
     full = " ".join(x.text for x in body.walk() if isinstance(x, Text))
-    host = urlsplit(url or "").netloc
+    host = host_of(url)
     if host in config.SITE_NODES:
         main = site_node(body, host)
         divs, body = ([main, *main.all("div")] if main else []), (main or body)
     else:
         divs = containers(body, fallback)
     links = [{"pos": i, "href": a.attrs["href"], "hreflang": a.attrs.get("hreflang", "")} for i, a in enumerate(body.all("a")) if "href" in a.attrs]
-    return (url, True, *head, text_blocks(divs), full, links)
+    return (url, False, True, *head, text_blocks(divs), full, links)
 
 
 def extract(pages: DataFrame, fallback: tuple[str, ...] = ("article", "body"), url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """url, has_body, title, description, keywords, blocks (cleaned), full_text, links."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    """url, no_html, has_body, title, description, keywords, blocks (cleaned), full_text, links."""
 
     def run(batches):
-        kinds = [pa.string(), pa.bool_(), *[pa.string()] * 3, pa.list_(pa.string()), pa.string(),
+        kinds = [pa.string(), pa.bool_(), pa.bool_(), *[pa.string()] * 3, pa.list_(pa.string()), pa.string(),
                  pa.list_(pa.struct([("pos", pa.int32()), ("href", pa.string()), ("hreflang", pa.string())]))]
-        names = ["url", "has_body", "title", "description", "keywords", "blocks", "full_text", "links"]
+        names = ["url", "no_html", "has_body", "title", "description", "keywords", "blocks", "full_text", "links"]
         for batch in batches:
             rows = [page_row(u, h, fallback) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], names)
 
     out = pages.select(F.col(url_col), F.col(html_col)).mapInArrow(run, SCHEMA)
     return out.withColumn("blocks", F.array_distinct(F.transform("blocks", T.clean_text)))

@@ -33,29 +33,27 @@ def matched_postings(corpus_: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.join(wanted, "term").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def _score(matched: DataFrame, terms: DataFrame, n: Column, idf, weight) -> DataFrame:
-    """Sum of idf * weight * qcount for each query and document."""
-    df = matched.groupBy("term").agg(F.count("*").alias("df"))
-    scored = df.withColumn("n", n).withColumn("idf", idf(F.col("n").cast("double"), F.col("df").cast("double")))
-    wanted = terms.join(scored.select("term", "idf"), "term")
-    both = matched.join(wanted, "term")
-    return both.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * weight * F.col("qcount")), DIGITS).alias("score"))
+def with_frequencies(matched: DataFrame) -> DataFrame:
+    """matched_postings with df: all documents of a term are among them."""
+    return matched.join(matched.groupBy("term").agg(F.count("*").alias("df")), "term")
 
 
-def tfidf(matched: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, doc_id, score: sum of qcount * tf / dl * ln(1 + n / df)."""
-    share = F.col("tf").cast("double") / F.col("dl").cast("double")
-    return _score(matched, terms, stats.select("n").scalar(), lambda n, df: F.log(1 + n / df), share)
+def lexical(matched: DataFrame, terms: DataFrame, n: Column, avgdl: Column, k1: float = 1.5, b: float = 0.75, raw_tf: bool = False, small: bool = False) -> DataFrame:
+    """matched (term, doc_id, dl, tf, df), terms (query_id, term, qcount) -> query_id,
+    doc_id, tfidf, bm25, both in one aggregation. TF-IDF sums qcount * tf / dl * ln(1 + n / df).
+    BM25's term frequencies are shares of the length too, and the length normalises once
+    more; ``raw_tf`` takes plain counts instead. ``small``: terms are known to be few."""
+    n, avgdl, df, dl, plain = (c.cast("double") for c in (n, avgdl, F.col("df"), F.col("dl"), F.col("tf")))
+    share = plain / dl
+    tf = plain if raw_tf else share
+    weight = (tf * (k1 + 1.0)) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / avgdl))
+    parts = {"tfidf": F.log(1 + n / df) * share, "bm25": F.log(1 + (n - df + 0.5) / (df + 0.5)) * weight}
+    both = matched.join(F.broadcast(terms) if small else terms, "term")
+    return both.groupBy("query_id", "doc_id").agg(*(F.round(F.sum(c * F.col("qcount")), DIGITS).alias(name) for name, c in parts.items()))
 
 
-def bm25(matched: DataFrame, terms: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75, raw_tf: bool = False) -> DataFrame:
-    """query_id, doc_id, score. Term frequencies are already shares of the length, and the
-    length normalises once more; ``raw_tf`` takes plain counts instead."""
-    dl = F.col("dl").cast("double")
-    tf = F.col("tf").cast("double") if raw_tf else F.col("tf").cast("double") / dl
-    weight = (tf * (k1 + 1.0)) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / F.col("avgdl")))
-    matched = matched.withColumn("avgdl", stats.select("avgdl").scalar())
-    return _score(matched, terms, stats.select("n").scalar(), lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)), weight)
+def one_score(scores: DataFrame, name: str) -> DataFrame:
+    return scores.select("query_id", "doc_id", F.col(name).alias("score"))
 
 
 def cosine_to_queries(embeddings: DataFrame, queries: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -67,6 +65,44 @@ def cosine_to_queries(embeddings: DataFrame, queries: DataFrame, digits: int = D
     return each.select("q.query_id", "doc_id", F.round(V.cosine(F.col("embedding"), F.col("q.query_vector")), digits).alias("score"))
 
 
+def dots_to_queries(vectors: DataFrame, listed: Column, only: str | None = None) -> DataFrame:
+    """Vectors of length 1 (doc_id, embedding) and an array of (query_id, embedding) ->
+    query_id, doc_id, score of all that share a dimension. No shuffle. ``only``: a column
+    with the query ids that a document is wanted for."""
+    each = vectors.withColumn("q", F.explode(listed))
+    each = each if only is None else each.where(F.array_contains(only, F.col("q.query_id")))
+    products = F.zip_with("embedding", "q.embedding", lambda x, y: x * y)
+    each = each.select("q.query_id", "doc_id", products.alias("p")).where(F.exists("p", lambda x: x != 0))
+    return each.select("query_id", "doc_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), DIGITS).alias("score"))
+
+
+def scaled(score: Column, low: Column, high: Column) -> Column:
+    """Min-max, 1 where all are equal, 0 where there is no score."""
+    return F.coalesce(F.when(score.isNotNull() & (high == low), F.lit(1.0)).otherwise((score - low) / (high - low)), F.lit(0.0))
+
+
+def fused_near(scores: DataFrame, vectors: DataFrame, query_vectors: DataFrame, weights: Sequence[float], k: int | None) -> DataFrame:
+    """query_id, doc_id, score: scores (query_id, doc_id, tfidf, bm25) and the nearness of
+    vectors (doc_id, embedding) to those of the queries (query_id, embedding), each min-max
+    normalised and weighted. With k only what can be among the first k is given: documents
+    with any of the terms, and the k nearest; the others are summed up where they lie."""
+    w = checked_weights(3, weights)
+    listed = query_vectors.agg(F.collect_list(F.struct("query_id", "embedding"))).scalar()
+    near = dots_to_queries(vectors, listed)
+    ends = near.groupBy("query_id").agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    lexical_ends = scores.groupBy("query_id").agg(*(f(c).alias(f"{name}_{c}") for c in ("tfidf", "bm25") for name, f in (("low", F.min), ("high", F.max))))
+    if k is not None:
+        held = scores.select(F.col("query_id").alias("own"), "doc_id")
+        mine = vectors.join(held, "doc_id")  # of few documents, each with the queries that it holds terms of
+        mine = mine.groupBy("doc_id").agg(F.first("embedding").alias("embedding"), F.collect_set("own").alias("own"))
+        own = dots_to_queries(mine, listed, "own")
+        near = own.union(ranked(near, k).select("query_id", "doc_id", "score")).distinct()
+    both = near.join(scores, ["query_id", "doc_id"], "full").join(ends, "query_id", "left").join(lexical_ends, "query_id", "left")
+    parts = [scaled(F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}")) for c in ("tfidf", "bm25")] + [scaled(F.col("score"), F.col("low"), F.col("high"))]
+    total = sum((p * F.lit(float(x)) for p, x in zip(parts, w)), F.lit(0.0))
+    return both.select("query_id", "doc_id", F.round(total, DIGITS).alias("score"))
+
+
 def cosine_sparse(vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
     """Sparse vectors of length 1: (doc_id, slot, w), (query_id, slot, w)."""
     q = query_vectors.select("query_id", "slot", F.col("w").alias("qw"))
@@ -105,16 +141,20 @@ def ranked(scores: DataFrame, k: int | None = 100, by: Sequence[str] = ("query_i
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def feedback_terms(scores: DataFrame, corpus_: DataFrame, settings: SearchSettings = SearchSettings()) -> DataFrame:
-    """query_id, term, freq: the most frequent terms of the first documents, ties by term.
-    ``feedback_random`` documents from the rest come by seeded hash."""
+def feedback_documents(scores: DataFrame, settings: SearchSettings = SearchSettings()) -> DataFrame:
+    """query_id, doc_id: the first documents; ``feedback_random`` from the rest come by seeded hash."""
     top = ranked(scores, settings.feedback_docs).select("query_id", "doc_id")
     if settings.feedback_random:
         rest = ranked(scores, None).where(F.col("rank") > settings.feedback_docs)
         draw = F.xxhash64("query_id", "doc_id", F.lit(settings.seed))
         rest = rest.withColumn("draw", F.row_number().over(Window.partitionBy("query_id").orderBy(draw, "doc_id")))
         top = top.unionByName(rest.where(F.col("draw") <= settings.feedback_random).select("query_id", "doc_id"))
-    terms = corpus_.join(top, "doc_id").select("query_id", F.explode("tokens").alias("term"))
+    return top
+
+
+def feedback_terms(top: DataFrame, corpus_: DataFrame, settings: SearchSettings = SearchSettings(), small: bool = False) -> DataFrame:
+    """query_id, term, freq: the most frequent terms of the documents top, ties by term."""
+    terms = corpus_.join(F.broadcast(top) if small else top, "doc_id").select("query_id", F.explode("tokens").alias("term"))
     counts = terms.groupBy("query_id", "term").agg(F.count("*").alias("freq"))
     w = Window.partitionBy("query_id").orderBy(F.desc("freq"), F.asc("term"))
     return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= settings.feedback_terms).drop("place")

@@ -24,9 +24,22 @@ def delete(store: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return store.join(rows.select(*key).distinct(), list(key), "left_anti")
 
 
-def with_ids(rows: DataFrame, last_id: int, order: str = "seq") -> DataFrame:
+def numbered(rows: DataFrame, order: str, name: str, store=DataFrame.persist) -> DataFrame:
+    """With ``name`` from 0 in order. Rows are dealt out by ranges and numbered in each; the
+    ranges' sizes shift them, so no task has all rows. ``store`` keeps the dealt rows."""
+    dealt = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id())
+    dealt = store(dealt)
+    part = F.shiftright("__id", 33)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a row a partition
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    placed = dealt.join(F.broadcast(sizes), part == F.col("__part"))
+    return placed.withColumn(name, F.col("__before") + F.col("__id").bitwiseAND(F.lit(2**33 - 1))).drop("__id", "__part", "__before")
+
+
+def with_ids(rows: DataFrame, last_id: int, order: str = "seq", store=DataFrame.persist) -> DataFrame:
     """doc_id = last id + place in order."""
-    return rows.withColumn("doc_id", F.lit(last_id) + F.row_number().over(Window.orderBy(order)))
+    return numbered(rows, order, "doc_id", store).withColumn("doc_id", F.col("doc_id") + F.lit(last_id + 1))
 
 
 def frontier_add(frontier: DataFrame, urls: DataFrame) -> DataFrame:

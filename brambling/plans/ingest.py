@@ -31,10 +31,13 @@ def language_by_words(text: Column) -> tuple[Column, Column]:
     return lang, F.try_divide(best.cast("double"), sum(counts.values()).cast("double"))
 
 
-def decided_pages(pages: DataFrame, visited: DataFrame, known_hashes: DataFrame, terms=config.TOPIC_TERMS, detector=language_by_words) -> DataFrame:
+def decided_pages(pages: DataFrame, visited: DataFrame, known_hashes: DataFrame, terms=config.TOPIC_TERMS, detector=language_by_words,
+                  frequencies: DataFrame | None = None, extracted: DataFrame | None = None) -> DataFrame:
     """One row a page: its extraction, simhash and decision. Near-duplicates are searched
-    among earlier pages of the batch (by url order) and the known hashes."""
-    pages = html.extract(pages)
+    among earlier pages of the batch (by url order) and the known hashes; terms weigh by the
+    ``frequencies`` of what was accepted before and the batch's own. ``extracted``: the
+    extraction, where it is stored."""
+    pages = html.extract(pages) if extracted is None else extracted
     text = T.join_blocks(F.col("blocks"))
     lang, score = detector(text)
     pages = pages.withColumns({"text": text, "lang": lang, "lang_score": score})
@@ -43,7 +46,7 @@ def decided_pages(pages: DataFrame, visited: DataFrame, known_hashes: DataFrame,
     ids = F.xxhash64("url")
     corpus = pages.select(ids.alias("doc_id"), T.analyse(F.col("text")).alias("tokens"))
     postings = index.postings(corpus)
-    hashes = simhash.simhashes(postings, simhash.term_weights(simhash.term_frequencies(corpus)))
+    hashes = simhash.simhashes(postings, simhash.term_weights(simhash.term_frequencies(corpus, frequencies)))
     pairs = simhash.pairs_in_buckets(hashes)
     known = simhash.is_duplicate(hashes, known_hashes, on_prefix=True).select("doc_id")
     duplicates = pairs.select(F.col("b").alias("doc_id")).union(known).distinct().withColumn("duplicate", F.lit(True))
@@ -51,18 +54,24 @@ def decided_pages(pages: DataFrame, visited: DataFrame, known_hashes: DataFrame,
     return crawl.decide(pages.withColumn("duplicate", F.coalesce("duplicate", F.lit(False))), terms)
 
 
-def ingest(pages: DataFrame, state: dict[str, DataFrame], terms=config.TOPIC_TERMS) -> dict[str, DataFrame]:
+def ingest(pages: DataFrame, state: dict[str, DataFrame], terms=config.TOPIC_TERMS, store=DataFrame.persist) -> dict[str, DataFrame]:
     """One crawl cycle. state and result: meta, corpus, frontier, visited, domains,
     frequencies. Only accepted pages give links; a page in another language gives its
-    English alternate."""
-    decided = decided_pages(pages, state["visited"], state["meta"].select("doc_id", "simhash"), terms)
+    English alternate. ``store`` keeps a table that several others are made from: the pages
+    are parsed and decided once."""
+    extracted = store(html.extract(pages))
+    known = state["meta"].select("doc_id", "simhash")
+    decided = store(decided_pages(pages, state["visited"], known, terms, frequencies=state["frequencies"], extracted=extracted))
     accepted = decided.where("decision = 'accept'")
     new_meta = accepted.select("doc_id", "url", "title", "description", "keywords", "simhash")
     new_corpus = accepted.select("doc_id", T.analyse(F.col("text")).alias("tokens"))
     links = crawl.filter_links(html.links_of(accepted), state["visited"], state["domains"])
     other = decided.where("decision = 'language'").select(crawl.english_alternate(F.col("links"), F.col("url")).alias("url")).where("url IS NOT NULL")
-    found = links.select("url").union(stores.unseen(other, state["visited"])).distinct()
-    found = found.select("url", F.lit(0).alias("priority"), F.xxhash64("url").bitwiseAND(F.lit(2**40 - 1)).alias("seq"))
+    # First in, first out: in the order of the pages that link, and of the links in them.
+    order = F.struct(F.col("page_url").alias("page"), F.col("pos").cast("long").alias("pos"))
+    found = links.select("url", order.alias("order")).union(stores.unseen(other, state["visited"]).select("url", F.struct("url", F.lit(-1).cast("long"))))
+    found = stores.numbered(store(found.groupBy("url").agg(F.min("order").alias("order"))), "order", "seq", store)
+    found = found.select("url", F.lit(0).alias("priority"), "seq")
     events = decided.where("decision <> 'visited'").select(
         "url", (F.col("lang") == "en").alias("is_english"), (F.col("decision") != "accept").alias("skipped"), F.lit(0).cast("long").alias("seq")
     )

@@ -4,7 +4,7 @@ batches and result files. A missing file is an empty table."""
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brambling import config
@@ -14,6 +14,9 @@ from brambling.functions import text as T
 META = "doc_id long, url string, title string, description string, keywords string, simhash long"
 CORPUS = "doc_id long, tokens array<string>"
 POSTINGS = "term string, doc_id long, tf long"
+INDEX_POSTINGS = "term string, doc_id long, tf long, dl long, bucket int"
+INDEX_TERMS = "term string, df long, bucket int"
+INDEX_STATS = "n long, total long, avgdl double, buckets int"
 LENGTHS = "doc_id long, dl long"
 FREQUENCIES = "term string, cf long"
 FRONTIER = "section string, domain string, url string, priority int, enqueue_seq long"
@@ -26,14 +29,17 @@ QUERIES = "query_id string, query string, seq long"
 
 
 def json_document(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
-    """One row of the whole file parsed as ``kind``, or None if there is no file."""
+    """The whole file parsed as ``kind``, one row, or a row for each line where it holds an
+    object a line (between two of them alone a brace ends a line and the next begins with
+    one); None if there is no file."""
     try:
         raw = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    return raw.select(F.from_json("value", kind).alias("v"))
+    objects = raw.select(F.explode(F.split("value", r"(?<=\})\r?\n(?=\{)")).alias("value"))
+    return objects.where(F.trim("value") != "").select(F.from_json("value", kind).alias("v"))
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -123,8 +129,9 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, key: str, value: str) -> None:
-    """A table of (key, value) as one JSON object a line: lines, so that any size is written in parallel."""
-    df.select(F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array(value))).alias("value")).write.mode("overwrite").text(path)
+    """A table of (key, value) as one JSON object a line: lines, so that any size is written
+    in parallel; the ``read_`` functions read them like one object."""
+    df.select(F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array(value)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -140,17 +147,24 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
-def write_index(path: str, postings: DataFrame, lengths: DataFrame, embeddings: DataFrame | None = None, topics: DataFrame | None = None) -> None:
-    """Postings are range-partitioned and sorted by term, so that a query's terms are found
-    by the row groups' statistics."""
-    postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    for name, df in (("lengths", lengths), ("embeddings", embeddings), ("topics", topics)):
-        if df is not None:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(buckets)).cast("int")
+
+
+def write_index(path: str, corpus: DataFrame, buckets: int) -> None:
+    """corpus (doc_id, tokens) as it is dealt; its postings (term, doc_id, tf, dl) in folders of
+    term buckets, of which a query reads its own, sorted by term, so that row groups are
+    skipped within them. Ranges go by document too: no task holds all of a frequent term."""
+    corpus.sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/corpus")
+    tokens = read_table(corpus.sparkSession, f"{path}/corpus", CORPUS).select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = tokens.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    keyed = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    order = ("bucket", "term", "doc_id")
+    keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    kinds = {"postings": POSTINGS, "lengths": LENGTHS, "embeddings": EMBEDDINGS, "topics": TOPICS}
+    kinds = {"corpus": CORPUS, "postings": INDEX_POSTINGS, "terms": INDEX_TERMS, "stats": INDEX_STATS, "lengths": LENGTHS, "embeddings": EMBEDDINGS, "topics": TOPICS}
     return {name: read_table(spark, f"{path}/{name}", schema) for name, schema in kinds.items()}
 
 

@@ -7,6 +7,7 @@ batch that runs again writes the same version again.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from brambling import config
+from brambling.operators.crawl import schedule
 from brambling.plans.ingest import ingest
 from brambling.sources import stores
 
@@ -41,13 +43,20 @@ def load_state(spark: SparkSession, root: str, version: int) -> dict[str, DataFr
 
 def cycle(root: str, terms=config.TOPIC_TERMS) -> Callable[[DataFrame, int], None]:
     def run(pages: DataFrame, batch: int) -> None:
-        state = load_state(pages.sparkSession, root, batch - 1)
-        pages = pages.persist()
-        try:
-            for name, df in ingest(pages, state, terms).items():
-                stores.write_table(df, f"{root}/v={batch}/{name}")
-        finally:
-            pages.unpersist()
+        spark, count = pages.sparkSession, itertools.count()
+        state = load_state(spark, root, batch - 1)
+
+        def store(df: DataFrame) -> DataFrame:
+            """Written beside the version's stores, so that a lost executor repeats nothing."""
+            path = f"{root}/v={batch}/_steps/{next(count)}"
+            stores.write_table(df, path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        for name, df in ingest(pages, state, terms, store).items():
+            stores.write_table(df, f"{root}/v={batch}/{name}")
+        # What the next cycle would fetch, in the order of its turns.
+        frontier = stores.read_table(spark, f"{root}/v={batch}/frontier", SCHEMAS["frontier"])
+        stores.write_table(schedule(frontier, cursor=batch), f"{root}/v={batch}/scheduled")
 
     return run
 

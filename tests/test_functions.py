@@ -45,6 +45,11 @@ def test_analyse_appends_entities(on):
     assert on(T.analyse_replacing, "The Max Planck Institute sings")[0] == ["max planck institute", "sings"]
 
 
+def test_tokens_of_any_script(on):
+    assert on(T.analyse, "Où est le château déjà 2024 Москва naïve") == [["où", "est", "le", "château", "déjà", "2024", "москва", "naïve"]]
+    assert on(T.analyse, "e\u0301te\u0301 日本語 x 7 42, the and these", None) == [["e\u0301te\u0301", "日本語", "42"], []]
+
+
 def test_blocks(on):
     assert on(T.split_blocks, "a\n;\nb", "", "a\n;\n") == [["a", "b"], [""], ["a", ""]]
     assert on(lambda c: T.join_blocks(T.split_blocks(c)), "a\n;\nb") == ["a\n;\nb"]

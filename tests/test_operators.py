@@ -91,9 +91,17 @@ def test_search_end_to_end(spark, tmp_path):
     assert Engine(index.corpus(docs), random_picks).search(queries).count() > 0
     glued = Engine(index.corpus(docs), SearchSettings(glue_first_pass=True))
     assert {r.term for r in glued.first_pass(queries)[0].where("query_id = '1'").collect()} == {"castlemuseum"}
-    build_index(docs, str(tmp_path / "index"))
+    stored = build_index(docs, str(tmp_path / "index"))
     tables = files.read_index(spark, str(tmp_path / "index"))
     assert tables["postings"].where("term = 'castle'").first().tf == 2 and tables["lengths"].count() == 4 and tables["topics"].count() == 0
+    found = lambda e: sorted(tuple(r) for r in e.search(queries).collect())
+    assert found(Engine(stored=stored)) == found(engine)
+    plan = Engine(stored=stored).search(queries)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "PartitionFilters: [bucket" in plan and "In(term, [" in plan
+    blank = spark.createDataFrame([("1", " ", 0)], files.QUERIES)
+    assert Engine(stored=stored).search(blank).count() == 0
+    empty = build_index(docs.limit(0), str(tmp_path / "empty"))
+    assert Engine(stored=empty).search(queries).count() == 0
     clusters = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, cluster int")
     both = Engine(index.corpus(docs), clusters=clusters, topics=clusters.withColumnRenamed("cluster", "topic"))
     assert both.search(queries).count() > 0
@@ -138,6 +146,10 @@ def test_json_stores(spark, tmp_path):
         assert read(spark, missing).count() == 0
     files.write_json(spark.createDataFrame([("x", 2)], files.FREQUENCIES), str(tmp_path / "out"), "term", "cf")
     assert '{"x":2}' in "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
+    many = [(f't"\n{{{i}}}', i) for i in range(10)]
+    for parts in (1, 3):
+        files.write_json(spark.createDataFrame(many, files.FREQUENCIES).repartition(parts), str(tmp_path / f"many{parts}"), "term", "cf")
+        assert sorted(tuple(r) for r in files.read_frequencies(spark, str(tmp_path / f"many{parts}")).collect()) == sorted(many)
 
 
 def test_stores(spark):
@@ -174,6 +186,17 @@ def test_html(spark):
     assert row[0].blocks == ["One", "bold", "text", "Deep text", "Item text", "Second item"]
     assert [(x.href, x.hreflang) for x in row[0].links] == [("/en/x", "en-GB"), ("a.html", ""), ("/y?z=1", "")]
     assert not row[1].has_body and not row[2].has_body and "form" not in row[0].full_text
+    assert [r.no_html for r in row] == [False, False, True]
+
+
+def test_no_page_stops_the_others(spark):
+    deep = "<body>" + "<div>" * 3000 + "<p>deep words</p>" + "</div>" * 3000 + "<p>after</p></body>"
+    odd = [("http://[bad/", "<body><p>in brackets</p></body>"), ("http://h/deep", deep), (None, "<body><p>no url</p></body>"), ("http://h/none", None), ("http://h/empty", ""),
+           ("http://h/broken", "<body><p>open <b>bold<td></p></i><a href>x<a href='/y'"), ("::", "<<<>>&#xD800;<body a=1 a=2><p>odd one"), ("http://h/nul", "<body>\0<p>nul\0l</p>")]
+    got = {r.url: r for r in html.extract(spark.createDataFrame(odd, "url string, html string")).collect()}
+    assert len(got) == len(odd) and got["http://[bad/"].full_text == "in brackets" and got[None].full_text == "no url"
+    assert "deep words" in got["http://h/deep"].full_text and "after" in got["http://h/deep"].full_text
+    assert got["http://h/none"].no_html and got["http://h/empty"].no_html and not got["http://h/broken"].no_html
 
 
 def test_site_selectors(spark):
@@ -197,10 +220,11 @@ def test_link_filter(spark):
 def test_gates_in_order(spark):
     rows = [("a", "t", "Tübingen", "en", 0.9, False, True, False), ("b", "t", "Tuebingen", "de", 0.7, False, True, False), ("c", "t", "tübingen", "de", 0.9, False, True, False),
             ("d", "t", "nothing", "en", 0.9, False, True, True), ("e", "t", "tübingen", "en", 0.9, False, True, True), ("f", "t", "x", "en", 0.9, True, False, False),
-            ("g", "", "tübingen", "en", 0.9, False, True, False), ("h", "t", "x", None, None, False, False, False)]
+            ("g", "", "tübingen", "en", 0.9, False, True, False), ("h", "t", "x", None, None, False, False, False), ("i", "", "", None, None, True, False, False)]
     df = spark.createDataFrame(rows, "url string, text string, full_text string, lang string, lang_score double, seen boolean, has_body boolean, duplicate boolean")
+    df = df.withColumn("no_html", F.col("url") == "i")
     got = {r.url: r.decision for r in crawl.decide(df).collect()}
-    assert got == {"a": "accept", "b": "accept", "c": "language", "d": "off_topic", "e": "duplicate", "f": "visited", "g": "language", "h": "no_body"}
+    assert got == {"a": "accept", "b": "accept", "c": "language", "d": "off_topic", "e": "duplicate", "f": "visited", "g": "language", "h": "no_body", "i": "empty"}
 
 
 def test_schedule_turns(spark):
