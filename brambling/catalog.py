@@ -14,6 +14,7 @@ from brambling.operators import cards, crawl, diversify, html, index, rank, simh
 from brambling.plans.ingest import decided_pages, language_by_words
 from brambling.plans.search import Engine, SearchIndex, build_index
 from brambling.session import exists, shared_path
+from brambling.sources import stores as files
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -513,7 +514,17 @@ def topic_gate(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", crawl.topic_gate(F.col("text"), TOPIC).alias("kept"))
 
 
-@query()
+_PROFILES = {
+    "en": "'the','and','of','to','in','is','that','for','with','was'", "de": "'der','die','und','das','von','zu','mit','ist','den','dem'",
+    "fr": "'le','la','les','des','et','un','une','du','est','que'", "es": "'el','los','las','y','que','en','una','por','con','para'",
+}
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM documents),
+c AS (SELECT doc_id, {", ".join(f"len(list_filter(w, lambda x: x IN ({v}))) AS {k}" for k, v in _PROFILES.items())} FROM t)
+SELECT doc_id, CASE WHEN greatest(en, de, fr, es) = 0 THEN '' WHEN en = greatest(en, de, fr, es) THEN 'en' WHEN de = greatest(en, de, fr, es) THEN 'de'
+  WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END AS lang,
+  CASE WHEN en + de + fr + es > 0 THEN round(greatest(en, de, fr, es)::DOUBLE / (en + de + fr + es), 6) END AS score FROM c""")
 def detected_language(spark, sf):
     lang, score = language_by_words(F.col("text"))
     return _read(spark, sf, "documents").select("doc_id", lang.alias("lang"), F.round(score, 6).alias("score"))
@@ -543,14 +554,12 @@ def result_cards(spark, sf):
 
 @query("SELECT url, min(page_id) IS NOT NULL AS there FROM pages GROUP BY url")
 def stream_dedupe(spark, sf):
-    """The page table as a stream, each url once, as far as the stream has come."""
-    import uuid
-
-    name = f"stream_dedupe_{uuid.uuid4().hex}"
+    """The page table as a stream, each url once, as far as the stream has come; into files."""
+    path = shared_path(spark, "stream")
     pages = spark.readStream.schema("page_id long, url string").parquet(f"{sf}/pages.parquet*")
-    query_ = pages.dropDuplicates(["url"]).select("url", F.lit(True).alias("there")).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.table(name)
+    once = pages.dropDuplicates(["url"]).select("url", F.lit(True).alias("there"))
+    once.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("url string, there boolean").parquet(f"{path}/out")
 
 
 @query("""SELECT user_id, window_start, count(*) AS n, round(sum(value), 4) AS total FROM (
@@ -561,3 +570,116 @@ def event_windows(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+
+
+# The whole search, and the smaller parts of it --------------------------------------------
+def _inter(out: str, src: str, group: str) -> str:
+    return f"""{out}a AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY score DESC, doc_id) AS rn,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rk FROM (SELECT query_id, doc_id, score, {group} AS g FROM {src})),
+{out}b AS (SELECT *, min(rk) OVER (PARTITION BY query_id, g) AS fc FROM {out}a),
+{out} AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn, fc) AS place FROM {out}b) WHERE place <= 100)"""
+
+
+_WHOLE = ", ".join([_SECOND, _inter("lc", "f2", "doc_id % 7"), _inter("tc", "f2", "doc_id % 5"), _fuse("m", {"lc": "0.6e0", "tc": "0.4e0"})])
+
+
+def _whole(spark, sf):
+    """Both passes, diversified by given clusters and topics, with urls, as a query batch."""
+    docs, engine = _read(spark, sf, "documents"), _engine(spark, sf)
+    engine.clusters = docs.select("doc_id", (F.col("doc_id") % 7).alias("cluster"))
+    engine.topics = docs.select("doc_id", (F.col("doc_id") % 5).alias("topic"))
+    return engine.search_batch(_searches(spark), docs.select("doc_id", F.concat(F.lit("doc:"), "doc_id").alias("url")))
+
+
+@query(f"WITH {_WHOLE} SELECT query_id, query_id::BIGINT - 1 AS seq, rank, 'doc:' || doc_id AS url, score FROM ({_top('m')})")
+def complete_search(spark, sf):
+    return _whole(spark, sf)
+
+
+@query(f"WITH {_WHOLE} SELECT query_id, rank, 'doc:' || doc_id AS url, score FROM ({_top('m')})")
+def results_round_trip(spark, sf):
+    """The result file of the complete search, written and read again."""
+    path = shared_path(spark, "results")
+    files.write_results(_whole(spark, sf), path)
+    return files.read_results(spark, path)
+
+
+@query("WITH " + ", ".join([_POST, _LITERAL, _terms(True), _tfidf("t", "qterms"), _bm25("b", "qterms")]) + " SELECT query_id, doc_id, score FROM t UNION ALL SELECT query_id, doc_id, score FROM b")
+def score_concat(spark, sf):
+    return rank.concat(_lexical(spark, sf, _searches(spark)))
+
+
+@query("WITH " + ", ".join([_POST, _LITERAL, _terms(True), _bm25("s", "qterms")]) + " " + _top("s", 10))
+def first_rows(spark, sf):
+    return rank.ranked(_lexical(spark, sf, _searches(spark))[1], 10)
+
+
+@query(f"WITH {_VECTORS}, o AS (SELECT query_id, doc_id, score FROM cs WHERE score > 0.7) {_top('o', 5)}")
+def expansion_neighbours(spark, sf):
+    e = _read(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    q = e.groupBy(F.concat(F.lit("label"), "label").alias("query_id")).agg(F.min_by("embedding", "doc_id").alias("query_vector"))
+    return rank.neighbours(q, e, digits=4)
+
+
+@query(f"WITH {_POST} SELECT term, doc_id, tf FROM post")
+def stored_postings(spark, sf):
+    return _engine(spark, sf).stored.tables["postings"].select("term", "doc_id", "tf")
+
+
+@query(f"WITH {_POST} SELECT term, sum(tf)::BIGINT AS cf FROM post GROUP BY term")
+def json_round_trip(spark, sf):
+    """Term counts written as a JSON store and read again, once from the files and then from memory."""
+    path = shared_path(spark, "json")
+    files.write_json(simhash.term_frequencies(_corpus(spark, sf)), path, "term", "cf")
+    files.remembered(spark, path, files.read_frequencies).count()
+    return files.remembered(spark, path, files.read_frequencies)
+
+
+@query(f"""WITH {_SIM}, c AS (SELECT count(*) AS n FROM hs) SELECT a.doc_id AS a, b.doc_id AS b, ({_NEAR})::INTEGER AS distance
+FROM hs a JOIN hs b ON a.doc_id < b.doc_id AND {_NEAR} <= 16 AND ((SELECT n FROM c) < 500 OR a.hi >> 26 = b.hi >> 26)""")
+def neardup_by_size(spark, sf):
+    return simhash.duplicate_pairs(_hashes(spark, sf))
+
+
+# Stores ------------------------------------------------------------------------------------
+@query("SELECT doc_id, lang, doc_id % 2 = 1 AS is_new FROM documents")
+def store_insert(spark, sf):
+    """Even documents are there; all are inserted, and the old rows hold."""
+    d = _read(spark, sf, "documents")
+    old, new = d.where("doc_id % 2 = 0").select("doc_id", "lang", F.lit(False).alias("is_new")), d.select("doc_id", "lang", F.lit(True).alias("is_new"))
+    return stores.insert_absent(old, new, ["doc_id"])
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0")
+def store_delete(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", "lang")
+    return stores.delete(d, d.where("doc_id % 3 = 0"), ["doc_id"])
+
+
+@query("SELECT page_id AS seq, 999 + row_number() OVER (ORDER BY page_id) AS doc_id FROM pages")
+def store_ids(spark, sf):
+    return stores.with_ids(_read(spark, sf, "pages").select(F.col("page_id").alias("seq")), 999)
+
+
+@query(f"WITH {_FRONTIER} SELECT section, domain, url, priority + CASE WHEN url IN (SELECT url FROM pages WHERE page_id % 3 = 0) THEN 0 ELSE 1 END AS priority, enqueue_seq FROM front")
+def frontier_priorities(spark, sf):
+    return stores.frontier_aged(_frontier(spark, sf), _read(spark, sf, "pages").where("page_id % 3 = 0"))
+
+
+@query("""SELECT event_id, round(least(10e0, value % 10 + event_id % 9), 6) AS tokens, round(greatest(0e0, 1 - (value % 10 - 10e0) - event_id % 9), 6) AS wait FROM events""")
+def token_bucket(spark, sf):
+    tokens, elapsed = F.col("value") % 10, F.col("event_id") % 9
+    out = _read(spark, sf, "events")
+    return out.select("event_id", F.round(crawl.refilled(tokens, elapsed), 6).alias("tokens"), F.round(crawl.wait_seconds(tokens, elapsed), 6).alias("wait"))
+
+
+@query("SELECT text AS query, min(seq) AS seq FROM (SELECT text, item_id AS seq FROM benchmark UNION ALL SELECT text, item_id + 100000 FROM benchmark WHERE item_id % 2 = 0) GROUP BY text")
+def query_history(spark, sf):
+    b = _read(spark, sf, "benchmark").select(F.col("text").alias("query"), F.col("item_id").alias("seq"))
+    return cards.history(b, b.where("seq % 2 = 0").withColumn("seq", F.col("seq") + 100000))
+
+
+@query("WITH " + ", ".join([_POST, _LITERAL, _terms(True), _bm25("s", "qterms")]) + f" SELECT * FROM ({_top('s')}) WHERE doc_id % 4 <> 0")
+def results_without_pins(spark, sf):
+    found = rank.ranked(_lexical(spark, sf, _searches(spark))[1])
+    return cards.without_pinned(found, _read(spark, sf, "documents").where("doc_id % 4 = 0"))

@@ -80,6 +80,16 @@ def schedule(frontier: DataFrame, group: int = 3, limit: int = config.CrawlSetti
     return rows.withColumn("slot", slot).where(F.col("slot") <= each).select("section", "domain", "url", "slot")
 
 
+def refilled(tokens: Column, elapsed_s: Column, capacity: int = config.CrawlSettings.bucket_capacity, per_second: float = config.CrawlSettings.bucket_refill_s) -> Column:
+    """Tokens of a bucket after some seconds."""
+    return F.least(F.lit(float(capacity)), tokens + elapsed_s * F.lit(per_second))
+
+
+def wait_seconds(tokens: Column, elapsed_s: Column, capacity: int = config.CrawlSettings.bucket_capacity, per_second: float = config.CrawlSettings.bucket_refill_s) -> Column:
+    """Until a bucket has a token to give, never below 0."""
+    return F.greatest(F.lit(0.0), (F.lit(1.0) - (tokens - F.lit(float(capacity)))) / F.lit(per_second) - elapsed_s)
+
+
 def failed(urls: DataFrame) -> DataFrame:
     """Events of fetches that failed: visited, and skipped."""
     return urls.select("url", F.lit(True).alias("is_english"), F.lit(True).alias("skipped"), "seq")

@@ -165,6 +165,21 @@ def expand(terms: Column, neighbours: Column | None = None) -> Column:
     return F.array_distinct(terms) if neighbours is None else F.array_union(terms, neighbours)
 
 
+def neighbours(terms: DataFrame, vectors: DataFrame, k: int = 5, above: float = 0.7, digits: int = DIGITS) -> DataFrame:
+    """terms (query_id, query_vector), vectors (doc_id, embedding) of a vocabulary -> the k
+    nearest of each above a similarity, for ``expand``."""
+    near = cosine_to_queries(vectors, terms, digits)
+    return ranked(near.where(F.col("score") > above), k)
+
+
+def concat(lists: Sequence[DataFrame]) -> DataFrame:
+    """All rows of all lists, where nothing weighs them."""
+    out = lists[0]
+    for scores in lists[1:]:
+        out = out.unionByName(scores)
+    return out
+
+
 def top_terms(corpus_: DataFrame, k: int = 10) -> DataFrame:
     """doc_id, term, freq, place of each document's most frequent terms, ties by first place."""
     tokens = corpus_.select("doc_id", F.posexplode("tokens").alias("pos", "term"))

@@ -58,6 +58,13 @@ def frontier_add(frontier: DataFrame, urls: DataFrame) -> DataFrame:
     return upsert(frontier, new.select(*frontier.columns), ["section", "url"])
 
 
+def frontier_aged(frontier: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """Urls that no page of a cycle mentions have their priority counted up."""
+    seen = mentioned.select("url", F.lit(1).alias("__seen")).distinct()
+    aged = F.col("priority") + F.when(F.col("__seen").isNull(), 1).otherwise(0)
+    return frontier.join(seen, "url", "left").withColumn("priority", aged.cast("int")).select(*frontier.columns)
+
+
 def frontier_remove(frontier: DataFrame, urls: DataFrame) -> DataFrame:
     """A domain that is OUT loses its urls there, else IN."""
     gone = urls.select("url", U.netloc(F.col("url")).alias("domain")).distinct()

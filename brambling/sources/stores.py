@@ -138,6 +138,28 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+_REMEMBERED: dict[tuple, tuple[tuple, DataFrame]] = {}
+
+
+def remembered(spark: SparkSession, path: str, read) -> DataFrame:
+    """``read(spark, path)``, cached until the files under path change."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.listStatus(at) if fs.exists(at) else []
+    state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found))
+    key = (spark.sparkContext.applicationId, path, read)
+    if key not in _REMEMBERED or _REMEMBERED[key][0] != state:
+        if key in _REMEMBERED:
+            _REMEMBERED[key][1].unpersist()
+        _REMEMBERED[key] = (state, read(spark, path).persist())
+    return _REMEMBERED[key][1]
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_results`` wrote."""
+    return spark.read.schema("query_id string, rank int, url string, score double").option("sep", "\t").csv(path)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
