@@ -100,8 +100,8 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, defaul
     sources, chances = rates.agg(F.count("*"), F.sum(F.size(cdf))).first()
     if sources <= BROADCAST_SOURCES and (chances or 0) <= BROADCAST_CHANCES:
         rates = F.broadcast(rates)
-    keyed = docs.select(*own).withColumn(source, F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    joined = keyed.join(rates, source).withColumn(u, uniform(F.lit(seed), F.col(id_col)))
+    keyed = docs.select(*own).withColumns({source: F.coalesce(F.col(source_col).cast("string"), F.lit("")), u: uniform(F.lit(seed), F.col(id_col))})
+    joined = keyed.join(rates, source)
     counted = joined.withColumn(count, F.col(first) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))).where(F.col(count) > 0)
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(count))))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit(f"{seed}|order"), F.col(id_col), F.col("copy_no"))).select(*own, "copy_no", "shuffle_key")

@@ -436,7 +436,10 @@ def test_classifier_sees_words_that_go_along_with_the_terms(spark):
     assert model.terms == tuple(("word", s.encode()) for s in toxicity.SEEDS)
     texts = [" ".join([f"w{k}" for k in range(40)] + [x]) for x in ("zorgling", "plimming", "w77")]
     bad, other, plain = toxicity.Scorer(model).scores([t.encode() for t in texts])
-    assert bad > 3 * max(other, plain)
+    odds = lambda p: np.log(p / (1 - p))
+    assert odds(bad) - max(odds(other), odds(plain)) > 0.6
+    short = toxicity.Scorer(model).scores([b"zorgling w3", b"plimming w3", b"w7 w3"])  # among fewer words a word weighs more
+    assert odds(short[0]) - max(odds(short[1]), odds(short[2])) > 1.2
 
 
 def test_scores_agree_in_any_batch(spark, sf):
