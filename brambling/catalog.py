@@ -430,7 +430,16 @@ def page_links(spark, sf):
     return html.links_of(html.extract(_read(spark, sf, "pages"))).select("page_url", "pos", "href")
 
 
-@query()
+_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '[''’]', '', 'g'), '\s*(p\.m\.)\s*', ' pm', 'g'), '\s*(a\.m\.)\s*', ' am', 'g')"""
+_UNESCAPED = "replace(replace(replace(replace(replace({c}, '&quot;', '\"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+#: Texts between the tags of the article, as the pages of the test tables are built.
+_BLOCKS = rf"""article AS (SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>') AS pieces FROM pages),
+piece AS (SELECT page_id, url, i, trim({_UNESCAPED.format(c="pieces[i]")}) AS piece FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM article)),
+block AS (SELECT page_id, url, {_CLEAN.format(c="piece")} AS block, min(i) AS i FROM piece WHERE length(piece) > 1 AND NOT contains(lower(piece), 'cookie') GROUP BY ALL),
+blocks AS (SELECT page_id, url, block, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM block)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT url, pos::INTEGER AS pos, block FROM blocks")
 def page_blocks(spark, sf):
     return html.blocks_of(html.extract(_read(spark, sf, "pages")))
 
@@ -520,21 +529,56 @@ _PROFILES = {
 }
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM documents),
-c AS (SELECT doc_id, {", ".join(f"len(list_filter(w, lambda x: x IN ({v}))) AS {k}" for k, v in _PROFILES.items())} FROM t)
-SELECT doc_id, CASE WHEN greatest(en, de, fr, es) = 0 THEN '' WHEN en = greatest(en, de, fr, es) THEN 'en' WHEN de = greatest(en, de, fr, es) THEN 'de'
-  WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END AS lang,
-  CASE WHEN en + de + fr + es > 0 THEN round(greatest(en, de, fr, es)::DOUBLE / (en + de + fr + es), 6) END AS score FROM c""")
+def _language(src: str) -> str:
+    """The rows of a table of texts with lang and lang_score."""
+    return rf"""SELECT * EXCLUDE (w, en, de, fr, es), CASE WHEN greatest(en, de, fr, es) = 0 THEN '' WHEN en = greatest(en, de, fr, es) THEN 'en'
+  WHEN de = greatest(en, de, fr, es) THEN 'de' WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END AS lang,
+  CASE WHEN en + de + fr + es > 0 THEN greatest(en, de, fr, es)::DOUBLE / (en + de + fr + es) END AS lang_score FROM (
+    SELECT *, {", ".join(f"len(list_filter(w, lambda x: x IN ({v}))) AS {k}" for k, v in _PROFILES.items())} FROM (
+      SELECT *, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM {src}))"""
+
+
+@query(f"SELECT doc_id, lang, round(lang_score, 6) AS score FROM ({_language('(SELECT doc_id, text FROM documents)')})")
 def detected_language(spark, sf):
     lang, score = language_by_words(F.col("text"))
     return _read(spark, sf, "documents").select("doc_id", lang.alias("lang"), F.round(score, 6).alias("score"))
 
 
-@query()
+def _simhash(out: str, post: str, weights: str) -> str:
+    return f"""{out}s AS (SELECT doc_id, {_BITS} FROM (SELECT doc_id, tf * coalesce(weight, 1) AS w, ('0x' || right(sha256(term), 16))::UBIGINT AS h
+  FROM {post} LEFT JOIN {weights} USING (term)) GROUP BY doc_id), {out} AS (SELECT doc_id, {_HI} AS hi, {_LO} AS lo FROM {out}s)"""
+
+
+_BODY = r"""regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>.*'),
+  '(?s)<(style|script|form|button|noscript|iframe)\b.*?</(style|script|form|button|noscript|iframe)>', '', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"""
+
+
+@query(rf"""WITH {_SIM}, {_BLOCKS},
+joined AS (SELECT page_id, string_agg(block, '{config.BLOCK_SEPARATOR}' ORDER BY pos) AS text FROM blocks GROUP BY ALL),
+page AS (SELECT p.page_id, p.url, coalesce(p.html, '') AS html, coalesce(j.text, '') AS text FROM pages p LEFT JOIN joined j USING (page_id)),
+found AS ({_language('page')}),
+gated AS (SELECT page_id, url, text, lang, CASE WHEN html = '' THEN 'empty' WHEN page_id % 5 = 0 THEN 'visited' WHEN NOT contains(html, '<body>') THEN 'no_body'
+  WHEN NOT coalesce((lang = 'en' OR (lang = 'de' AND lang_score < 0.8e0)) AND text <> '', false) THEN 'language'
+  WHEN NOT {_found(_BODY, TOPIC)} THEN 'off_topic' ELSE 'accept' END AS decision FROM found),
+ptok AS (SELECT url AS doc_id, unnest({_tokens('text')}) AS term FROM gated WHERE decision = 'accept'),
+ppost AS (SELECT doc_id, term, count(*) AS tf FROM ptok GROUP BY ALL),
+pcf AS (SELECT term, sum(c)::BIGINT AS cf FROM (SELECT term, tf AS c FROM ppost UNION ALL SELECT term, cf FROM cf) GROUP BY term),
+pwt AS (SELECT term, floor((SELECT max(cf) FROM pcf)::DOUBLE / cf)::BIGINT AS weight FROM pcf),
+{_simhash('ph', 'ppost', 'pwt')},
+old AS (SELECT hi, lo FROM hs UNION ALL SELECT hi, lo FROM ph WHERE doc_id IN (SELECT url FROM pages WHERE page_id % 7 = 3)),
+dup AS (SELECT b.doc_id FROM ph a JOIN ph b ON a.hi >> 26 = b.hi >> 26 AND a.doc_id < b.doc_id AND {_NEAR} <= 16
+  UNION SELECT b.doc_id FROM old a JOIN ph b ON a.hi >> 26 = b.hi >> 26 AND {_NEAR} <= 16)
+SELECT url, lang, CASE WHEN decision = 'accept' AND url IN (SELECT doc_id FROM dup) THEN 'duplicate' ELSE decision END AS decision FROM gated""")
 def crawl_decision(spark, sf):
-    none = spark.createDataFrame([], "domain string, url string, skipped boolean")
-    hashes = spark.createDataFrame([], "doc_id long, simhash long")
-    return decided_pages(_read(spark, sf, "pages"), none, hashes, TOPIC).select("url", "lang", "decision")
+    """Every fifth page is visited, every seventh has been stored before; the documents are
+    the corpus accepted so far."""
+    pages, corpus = _read(spark, sf, "pages"), _corpus(spark, sf)
+    visited = pages.where("page_id % 5 = 0").select(U.netloc(F.col("url")).alias("domain"), "url", F.lit(False).alias("skipped"))
+    before, none = simhash.term_frequencies(corpus), spark.createDataFrame([], "doc_id long, simhash long")
+    stored = pages.where("page_id % 7 = 3").select("url")
+    first = decided_pages(pages, visited, none, TOPIC, frequencies=before)
+    known = _hashes(spark, sf).select("simhash").union(first.join(stored, "url", "left_semi").where("simhash IS NOT NULL").select("simhash"))
+    return decided_pages(pages, visited, known, TOPIC, frequencies=before).select("url", "lang", "decision")
 
 
 @query(f"""WITH {_POST}, {_LITERAL}, {_terms(True)}, {_bm25("s", "qterms")}, r AS ({_top("s", 10)}),

@@ -32,25 +32,29 @@ def language_by_words(text: Column) -> tuple[Column, Column]:
 
 
 def decided_pages(pages: DataFrame, visited: DataFrame, known_hashes: DataFrame, terms=config.TOPIC_TERMS, detector=language_by_words,
-                  frequencies: DataFrame | None = None, extracted: DataFrame | None = None) -> DataFrame:
+                  frequencies: DataFrame | None = None, extracted: DataFrame | None = None, store=DataFrame.persist) -> DataFrame:
     """One row a page: its extraction, simhash and decision. Near-duplicates are searched
-    among earlier pages of the batch (by url order) and the known hashes; terms weigh by the
-    ``frequencies`` of what was accepted before and the batch's own. ``extracted``: the
-    extraction, where it is stored."""
+    among the known hashes and the pages that no other gate stops, an earlier one (by url)
+    before a later; only those pages have a simhash. Terms weigh by the ``frequencies`` of
+    what was accepted before and by these pages. ``extracted``: the extraction, where it is
+    stored. ``store`` keeps a table that several others are made from."""
     pages = html.extract(pages) if extracted is None else extracted
     text = T.join_blocks(F.col("blocks"))
     lang, score = detector(text)
     pages = pages.withColumns({"text": text, "lang": lang, "lang_score": score})
     seen = visited.select("url", F.lit(True).alias("seen")).distinct()
     pages = pages.join(seen, "url", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    ids = F.xxhash64("url")
-    corpus = pages.select(ids.alias("doc_id"), T.analyse(F.col("text")).alias("tokens"))
-    postings = index.postings(corpus)
-    hashes = simhash.simhashes(postings, simhash.term_weights(simhash.term_frequencies(corpus, frequencies)))
-    pairs = simhash.pairs_in_buckets(hashes)
-    known = simhash.is_duplicate(hashes, known_hashes, on_prefix=True).select("doc_id")
-    duplicates = pairs.select(F.col("b").alias("doc_id")).union(known).distinct().withColumn("duplicate", F.lit(True))
-    pages = pages.withColumn("doc_id", ids).join(hashes.select("doc_id", "simhash"), "doc_id", "left").join(duplicates, "doc_id", "left")
+    pages = store(crawl.decide(pages.withColumn("duplicate", F.lit(False)), terms).drop("duplicate"))
+    # Of a url that comes several times any page stands for the others.
+    corpus = pages.where("decision = 'accept'").groupBy("url").agg(F.min("text").alias("text"))
+    corpus = store(corpus.select(F.col("url").alias("doc_id"), T.analyse(F.col("text")).alias("tokens")))
+    hashes = simhash.simhashes(index.postings(corpus), simhash.term_weights(simhash.term_frequencies(corpus, frequencies)))
+    hashes = store(hashes.select(F.col("doc_id").alias("url"), "simhash"))
+    own = hashes.select(F.col("url").alias("doc_id"), "simhash")
+    known = simhash.is_duplicate(own, known_hashes, on_prefix=True).select("doc_id")
+    found = simhash.pairs_in_buckets(own).select(F.col("b").alias("doc_id")).union(known)
+    duplicates = found.distinct().select(F.col("doc_id").alias("url"), F.lit(True).alias("duplicate"))
+    pages = pages.withColumn("doc_id", F.xxhash64("url")).join(hashes, "url", "left").join(duplicates, "url", "left")
     return crawl.decide(pages.withColumn("duplicate", F.coalesce("duplicate", F.lit(False))), terms)
 
 
@@ -61,7 +65,7 @@ def ingest(pages: DataFrame, state: dict[str, DataFrame], terms=config.TOPIC_TER
     are parsed and decided once."""
     extracted = store(html.extract(pages))
     known = state["meta"].select("doc_id", "simhash")
-    decided = store(decided_pages(pages, state["visited"], known, terms, frequencies=state["frequencies"], extracted=extracted))
+    decided = store(decided_pages(pages, state["visited"], known, terms, frequencies=state["frequencies"], extracted=extracted, store=store))
     accepted = decided.where("decision = 'accept'")
     new_meta = accepted.select("doc_id", "url", "title", "description", "keywords", "simhash")
     new_corpus = accepted.select("doc_id", T.analyse(F.col("text")).alias("tokens"))
