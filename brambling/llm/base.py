@@ -9,7 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -102,6 +102,20 @@ def uncollected(batches: Iterator) -> Iterator:
             gc.enable()
 
 
+#: What empties the caches that operators keep in a worker between its tasks, by operator.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def sole(operator: str, empty: Callable[[], None] | None = None) -> None:
+    """At the start of a worker's task: empties what other operators have kept in this
+    process, as a worker that lives through several would hold all of it. ``empty`` does
+    so for this one."""
+    for other in [o for o in _CACHES if o != operator]:
+        _CACHES.pop(other)()
+    if empty:
+        _CACHES[operator] = empty
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) alone, a null text as an empty one; other columns are left out,
     so that their names can't clash with the operators' own."""

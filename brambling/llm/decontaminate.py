@@ -157,6 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         sent, name = spark.sparkContext.broadcast([tuple(r) for r in own]), uuid.uuid4().hex
 
         def run(batches, sent=sent, name=name):
+            base.sole("decontaminate", _LAST.clear)
             index, hashes = items_of(name, sent), Hashes()
             for batch in batches:
                 found = []

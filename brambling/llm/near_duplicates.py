@@ -141,6 +141,7 @@ def sketches(rows: DataFrame) -> DataFrame:
     """doc_id, text hash and band keys of every row."""
 
     def run(batches):
+        base.sole("near_duplicates")
         hashes = Hashes()
         for batch in batches:
             keys = [sketch(shingles(t, hashes)) for t in batch.column("text").cast(pa.binary()).to_pylist()]

@@ -235,6 +235,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str, text_
     names = [f.split()[0] for f in ENCODED.split(", ")]
 
     def run(batches):
+        base.sole("token_store", encoder.cache_clear)
         enc, seen = encoder(path), set()
         last = np.array([end_id], enc.kind).tobytes()
         for batch in base.uncollected(batches):

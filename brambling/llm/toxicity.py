@@ -149,6 +149,7 @@ def mine(rows: DataFrame, labelled: DataFrame, mined: int) -> tuple[list[tuple[s
         return [], PRIOR
 
     def run(batches):
+        base.sole("toxicity")
         for batch in batches:
             counts = (Counter(), Counter())
             for t, y in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("label").to_pylist()):
@@ -206,20 +207,19 @@ def chosen(sample: DataFrame, terms: list[tuple[str, bytes]], rate: float, mined
     return kept
 
 
-def vote_table(rows: DataFrame, terms, text: bool = False) -> DataFrame:
-    """doc_id, votes of every row; with ``text`` also ``bits``, its buckets as a bit set."""
+def vote_table(rows: DataFrame, terms) -> DataFrame:
+    """doc_id, votes and ``bits``, its buckets as a bit set, of every row."""
     size = 1 << BUCKET_BITS
 
     def run(batches):
+        base.sole("toxicity")
         voters, hashes = Voters(terms), Hashes()
         for batch in base.uncollected(batches):
             texts = [base.words(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            columns = [batch.column("doc_id"), pa.array([voters.votes(t).tobytes() for t in texts], pa.binary())]
-            if text:
-                columns.append(pa.array([bit_set(buckets(t, hashes), size) for t in texts], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "votes", "bits"][: len(columns)])
+            columns = [pa.array([voters.votes(t).tobytes() for t in texts], pa.binary()), pa.array([bit_set(buckets(t, hashes), size) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "votes", "bits"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, votes binary" + (", bits binary" if text else ""))
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, votes binary, bits binary")
 
 
 def bit_set(places: np.ndarray, size: int) -> bytes:
@@ -228,13 +228,19 @@ def bit_set(places: np.ndarray, size: int) -> bytes:
     return np.packbits(held).tobytes()
 
 
-def moments(votes: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of all rows, for each two voters: how often both vote, and the sum of their products."""
+def moments(rows: DataFrame, terms) -> tuple[np.ndarray, np.ndarray]:
+    """Of all rows, for each two voters: how often both vote, and the sum of their products.
+    The votes are cast and summed in one pass: two in a row would take two workers a task,
+    and executors keep as many as were ever at work at once."""
+    m = len(terms) + len(PATTERNS)
 
     def run(batches):
+        base.sole("toxicity")
+        voters = Voters(terms)
         both, product = np.zeros((m, m), np.int64), np.zeros((m, m), np.int64)
-        for batch in batches:
-            v = np.frombuffer(b"".join(batch.column("votes").to_pylist()), np.int8).reshape(-1, m).astype(np.float64)
+        for batch in base.uncollected(batches):
+            votes = [voters.votes(base.words(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            v = np.array(votes, np.float64).reshape(-1, m)
             product += (v.T @ v).astype(np.int64)
             both += (np.abs(v).T @ np.abs(v)).astype(np.int64)
         i, j = np.nonzero(both)
@@ -242,7 +248,7 @@ def moments(votes: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
 
     out = (np.zeros((m, m)), np.zeros((m, m)))
     # m * m rows at most, m is bounded by the number of terms
-    for r in votes.mapInArrow(run, "i long, j long, n long, s long").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+    for r in rows.select("text").mapInArrow(run, "i long, j long, n long, s long").groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
         out[0][r.i, r.j], out[1][r.i, r.j] = r.n, r.s
     return out
 
@@ -321,11 +327,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, mined: int
         found, prior = mine(rows, labelled, mined)
         terms = tuple(dict.fromkeys([("word", s.encode()) for s in SEEDS] + found))
         m, start = len(terms) + len(PATTERNS), math.log(prior / (1 - prior))
-        a, dependence = label_model(*moments(vote_table(rows, terms), m))
+        a, dependence = label_model(*moments(rows, terms))
         strength = np.log((1 + a) / (1 - a)) / (1 + dependence)
 
         def features(wanted: DataFrame, *more: str):
-            own = base.stored(vote_table(wanted, terms, text=True), "features")
+            own = base.stored(vote_table(wanted, terms), "features")
             own = own.join(F.broadcast(labelled), "doc_id") if more else own
             taken = smallest(own, fit_rows, "votes", "bits").select("doc_id", "votes", "bits", *more).toArrow()
             votes = np.frombuffer(b"".join(taken["votes"].to_pylist()), np.int8).reshape(-1, m).astype(np.float64)
@@ -382,6 +388,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     base.arrow_limits(docs.sparkSession)
 
     def run(batches):
+        base.sole("toxicity")
         scorer = Scorer(model)
         for batch in base.uncollected(batches):
             found = scorer.scores(batch.column("text").cast(pa.binary()).to_pylist())
@@ -396,6 +403,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
     base.arrow_limits(docs.sparkSession)
 
     def run(batches):
+        base.sole("toxicity")
         scorer = Scorer(model)
         for batch in base.uncollected(batches):
             found = scorer.scores([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()])

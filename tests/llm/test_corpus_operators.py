@@ -407,6 +407,69 @@ def test_held_out_labels(spark):
     assert {r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out} == {True}
 
 
+def pythons(node):
+    """(of the stage that ends in this plan, the most of any stage): steps run by Python workers."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return pythons(node.executedPlan())
+    below = [pythons(node.children().apply(k)) for k in range(node.children().size())]
+    own = sum(b[0] for b in below) + (name == "MapInArrow")
+    most = max([own, *(b[1] for b in below)])
+    return (0, most) if "Exchange" in name else (own, most)
+
+
+def test_toxicity_takes_one_worker_a_task(spark, sf, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    most, plain = [], DataFrame.mapInArrow
+
+    def watched(self, *args, **kwargs):
+        out = plain(self, *args, **kwargs)
+        most.append(pythons(out._jdf.queryExecution().executedPlan())[1])
+        return out
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    docs = base.table(spark, sf, "documents")
+    toxicity.drop_toxic(docs, toxicity.fit(docs, base.table(spark, sf, "labels")))
+    assert len(most) >= 5 and set(most) == {1}
+
+
+def test_moments_equal_brute_force(spark):
+    texts = ["you idiot, you moron", "idiot", None, "plain words", "stupid stupid loser", ""] * 3
+    rows = base.texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    terms = [("word", s.encode()) for s in toxicity.SEEDS] + [("begin", b"plai")]
+    votes = np.array([toxicity.Voters(terms).votes(base.words((t or "").encode())) for t in texts], np.int64)
+    both, product = toxicity.moments(rows, terms)
+    assert (both == np.abs(votes).T @ np.abs(votes)).all() and (product == votes.T @ votes).all() and both.any()
+    assert not toxicity.moments(rows.limit(0), terms)[0].any()
+
+
+def test_a_worker_keeps_the_caches_of_one_operator(spark, monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    steps, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, *args, **kwargs: steps.append(run) or plain(self, run, *args, **kwargs))
+    docs = spark.createDataFrame([(0, "some words to keep"), (1, "others")], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = toxicity.Model((("word", b"idiot"),), np.zeros(7), np.zeros(7), np.zeros(7))
+    token_store.encode_documents(docs, path, 2, "doc_id", "text")
+    toxicity.drop_toxic(docs, model)
+    toxicity.score(docs, model)
+    near_duplicates.sketches(base.texts(docs))
+    decontaminate.contaminated(docs, docs.withColumnRenamed("doc_id", "item_id"))
+    encode, *others = steps
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": ["some words to keep", "others"], "same": [b"a", b"b"]})
+    token_store.encoder.cache_clear()
+    for run in others:  # as tasks in one worker
+        for _ in range(2):
+            assert sum(b.num_rows for b in encode(iter([batch.select(["doc_id", "text"])]))) >= 4
+        assert token_store.encoder.cache_info().hits >= 1 and not decontaminate._LAST  # kept between its own tasks
+        list(run(iter([batch])))
+        assert token_store.encoder.cache_info().currsize == 0
+
+
 def test_toxicity_in_odd_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     rows = [(1, "you are such an idiot, clown"), (2, None), (3, ""), (2, None), (None, "a fine day of work")]
