@@ -42,3 +42,7 @@ def pages_of(titles):
 
 def test_blocks_with_cut_references(differs):
     assert not differs("page_blocks", pages=pages_of(TITLES))
+
+
+def test_titles_with_cut_and_other_references(differs):
+    assert not differs("page_meta", pages=pages_of(TITLES))
