@@ -46,3 +46,11 @@ def test_blocks_with_cut_references(differs):
 
 def test_titles_with_cut_and_other_references(differs):
     assert not differs("page_meta", pages=pages_of(TITLES))
+
+
+def test_decisions_of_pages_that_share_a_url(differs):
+    """A visited page, and a page of the same url that isn't; two accepted ones of a url."""
+    rows = [(10, "http://a.example/x", page("one")), (11, "http://a.example/x", page("two")), (12, "http://a.example/y", page("three", WORDS + " uno")),
+            (13, "http://a.example/y", page("four", WORDS + " dos tres")), (14, "http://a.example/z", page("five &amp", WORDS)), (15, "http://a.example/e", "")]
+    documents = [(i, f"word{i} other{i % 3} the text", "en", "s", 20) for i in range(8)]
+    assert not differs("crawl_decision", pages=(rows, PAGES), documents=(documents, "doc_id long, text string, lang string, source string, n_chars long"))
