@@ -1,5 +1,6 @@
 """Operators on hand-written tables and against plain loops."""
 
+import hashlib
 import random
 
 import pytest
@@ -315,3 +316,32 @@ def test_registered_clusters_are_half_the_rows(spark, tmp_path, monkeypatch):
         rows.write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
         assert catalog.kmeans_diversify(spark, f"{tmp_path}/{n}").count() > 0
     assert seen == [300, 1100]
+
+
+def test_pairs_of_blocks_and_sums_of_batches(spark, monkeypatch):
+    """Several blocks, strips and batches give what one loop over all gives."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = {i: [rng.choice(words[: 4 + i % 9]) for _ in range(rng.randint(1, 30))] for i in range(90)}
+    # A document in two rows, and one without tokens.
+    texts[3] += texts[4]
+    rows = [(i, t) for i, t in texts.items() if i != 3] + [(3, texts[3][:5]), (3, texts[3][5:]), (95, [])]
+    corpus = spark.createDataFrame(rows, files.CORPUS)
+    posts, weights = index.postings(corpus), simhash.term_weights(simhash.term_frequencies(corpus))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    monkeypatch.setattr(simhash, "BLOCK", 13)
+    try:
+        made = simhash.corpus_simhashes(corpus)
+        rows, whole = ({r.doc_id: r for r in h.collect()} for h in (simhash.simhashes(posts, weights), made))
+        got = sorted(tuple(r) for r in simhash.pairs_of_all(made).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    weight = {r.term: r.weight for r in weights.collect()}
+    hashes = {}
+    for i, tokens in texts.items():
+        own = [(int(hashlib.sha256(t.encode()).hexdigest()[-16:], 16), weight[t]) for t in tokens]
+        hashes[i] = sum(1 << b for b in range(64) if sum(w if h >> b & 1 else -w for h, w in own) > 0)
+    assert rows == whole
+    assert {i: (r.hi, r.lo, r.simhash % (1 << 64)) for i, r in rows.items()} == {i: (h >> 32, h % (1 << 32), h) for i, h in hashes.items()}
+    near = [(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in hashes for b in hashes if a < b]
+    assert got == [p for p in near if p[2] <= 16] and got
