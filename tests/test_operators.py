@@ -345,3 +345,34 @@ def test_pairs_of_blocks_and_sums_of_batches(spark, monkeypatch):
     assert {i: (r.hi, r.lo, r.simhash % (1 << 64)) for i, r in rows.items()} == {i: (h >> 32, h % (1 << 32), h) for i, h in hashes.items()}
     near = [(a, b, (hashes[a] ^ hashes[b]).bit_count()) for a in hashes for b in hashes if a < b]
     assert got == [p for p in near if p[2] <= 16] and got
+
+
+def test_clusters_in_blocks(spark, monkeypatch):
+    """Beyond the library's rows: each row has its nearest mean, the clusters are as tight as
+    the library's, and equal vectors are one."""
+    rng = random.Random(3)
+    middle = [[rng.uniform(-9, 9) for _ in range(4)] for _ in range(50)]
+    rows = {i: [x + rng.gauss(0, 1) for x in middle[i % 50]] for i in range(240)}
+    frame = spark.createDataFrame(list(rows.items()), files.EMBEDDINGS)
+
+    def means():
+        found = {r.doc_id: r.cluster for r in diversify.kmeans_clusters(frame).collect()}
+        groups = {c: [rows[i] for i in rows if found[i] == c] for c in found.values()}
+        assert len(found) == 240 and len(groups) == 120
+        return found, {c: [sum(x) / len(g) for x in zip(*g)] for c, g in groups.items()}
+
+    def far(x, y):
+        return sum((a - b) ** 2 for a, b in zip(x, y))
+
+    found, own = means()
+    library = sum(far(rows[i], own[c]) for i, c in found.items())
+    monkeypatch.setattr(diversify, "LIBRARY_ROWS", 10)
+    monkeypatch.setattr(diversify, "TASK_ROWS", 50)
+    monkeypatch.setattr(diversify, "CENTRES", 7)
+    monkeypatch.setattr("pyspark.ml.clustering.KMeans.fit", None)
+    found, own = means()
+    assert all(far(rows[i], own[c]) <= min(far(rows[i], m) for m in own.values()) + 1e-9 for i, c in found.items())
+    assert sum(far(rows[i], own[c]) for i, c in found.items()) < 1.1 * library
+    same = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(40)], files.EMBEDDINGS)
+    found = {r.doc_id: r.cluster for r in diversify.kmeans_clusters(same).collect()}
+    assert [found[i] for i in range(40)] == [found[0], found[1]] * 20 and found[0] != found[1]
